@@ -54,8 +54,8 @@ def targets(sources: DataFrame, weights: list[int], most: int) -> DataFrame:
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     """For each row of ``budgets`` (``source, budget``, some words of that source) with ``threshold``.
 
-    ``sized`` has ``source, size, _place``. A source's documents placed below the threshold have as many words as the
-    budget allows, up to the few of one last bucket. Each level sums words by source and bucket; only documents of
+    ``sized`` has ``source, size, _place``. Of all thresholds, the documents placed below this one have words nearest
+    to the budget, up to the few documents of one last bucket. Each level sums words by source and bucket; only documents of
     the bucket in which the budget ends go to the next level.
     """
     found = budgets.select("source", "budget", F.lit(0).cast("long").alias("_from"), F.lit(0).cast("long").alias("_sum"))
@@ -68,8 +68,11 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         running = Window.partitionBy("source", "budget").orderBy("_bucket")
         inside = h.join(f, F.col("h.source").eqNullSafe(F.col("f.source")) & parent).select("f.source", "budget", "_from", "_sum", "_bucket", "_words")
         inside = inside.withColumn("_upto", F.col("_sum") + F.sum("_words").over(running))
-        # the first bucket that the budget can't pay in full; where it pays for all, one behind the last
+        # the first bucket that the budget can't pay in full, on the last level the first that leads away from the
+        # budget; where it pays for all, one behind the last
         over = F.col("_upto") > F.col("budget")
+        if level == LEVELS:
+            over = F.col("_upto") - F.col("budget") > F.col("budget") - (F.col("_upto") - F.col("_words"))
         ends = inside.groupBy("source", "budget").agg(
             F.min(F.when(over, F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_sum")))).alias("_at"),
             F.max("_from").alias("_from"), F.max("_upto").alias("_all"),
