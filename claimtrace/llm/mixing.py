@@ -51,33 +51,35 @@ def targets(sources: DataFrame, weights: list[int], most: int) -> DataFrame:
     return s.select("source", "source_size", F.least(F.col("_limit").cast("double"), F.col("_level") * F.col("_weight").cast("double")).alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
     """For each row of ``budgets`` (``source, budget``, some words of that source) with ``threshold``.
 
     ``sized`` has ``source, size, _place``. Of all thresholds, the documents placed below this one have words nearest
-    to the budget, up to the few documents of one last bucket. Each level sums words by source and bucket; only documents of
-    the bucket in which the budget ends go to the next level.
+    to the budget, up to the few documents of one last bucket. Each level sums words by source and bucket; only
+    documents of the bucket in which the budget ends come to the next level. ``small``: budgets may be broadcast.
     """
     found = budgets.select("source", "budget", F.lit(0).cast("long").alias("_from"), F.lit(0).cast("long").alias("_sum"))
     for level in range(1, LEVELS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
-        bucket = F.shiftright("_place", shift)
-        histogram = sized.groupBy("source", bucket.alias("_bucket")).agg(F.sum("size").alias("_words"))
-        f, h = found.alias("f"), histogram.alias("h")
-        parent = F.col("f._from") == F.shiftright("h._bucket", LEVEL_BITS)
+        f, d = (F.broadcast(found) if small else found).alias("f"), sized.alias("d")
+        boundary = F.col("d.source").eqNullSafe(F.col("f.source")) & (F.shiftright("_place", shift + LEVEL_BITS) == F.col("_from"))
+        keys = [F.col("f.source").alias("source"), "budget", "_from", "_sum", F.shiftright("_place", shift).alias("_bucket")]
+        inside = d.join(f, boundary).groupBy(*keys).agg(F.sum("size").alias("_words"))
         running = Window.partitionBy("source", "budget").orderBy("_bucket")
-        inside = h.join(f, F.col("h.source").eqNullSafe(F.col("f.source")) & parent).select("f.source", "budget", "_from", "_sum", "_bucket", "_words")
         inside = inside.withColumn("_upto", F.col("_sum") + F.sum("_words").over(running))
         # the first bucket that the budget can't pay in full, on the last level the first that leads away from the
         # budget; where it pays for all, one behind the last
         over = F.col("_upto") > F.col("budget")
         if level == LEVELS:
             over = F.col("_upto") - F.col("budget") > F.col("budget") - (F.col("_upto") - F.col("_words"))
-        ends = inside.groupBy("source", "budget").agg(
+        ends = inside.groupBy("source", "budget", "_from").agg(
             F.min(F.when(over, F.struct("_bucket", (F.col("_upto") - F.col("_words")).alias("_sum")))).alias("_at"),
-            F.max("_from").alias("_from"), F.max("_upto").alias("_all"),
+            F.max("_upto").alias("_all"),
         )
-        found = ends.select("source", "budget", F.coalesce("_at._bucket", F.shiftleft(F.col("_from") + 1, LEVEL_BITS)).alias("_from"), F.coalesce("_at._sum", "_all").alias("_sum"))
+        e, lower = ends.alias("e"), F.shiftleft(F.col("f._from"), LEVEL_BITS)
+        same = F.col("e.source").eqNullSafe(F.col("f.source")) & (F.col("e.budget") == F.col("f.budget"))
+        behind = F.when(F.col("_all").isNotNull(), F.shiftleft(F.col("f._from") + 1, LEVEL_BITS)).otherwise(lower)
+        found = found.alias("f").join(e, same, "left").select("f.source", "f.budget", F.coalesce("_at._bucket", behind).alias("_from"), F.coalesce("_at._sum", "_all", "f._sum").alias("_sum"))
     return found.select("source", "budget", F.shiftleft("_from", HASH_BITS - LEVELS * LEVEL_BITS).alias("threshold"))
 
 
@@ -96,10 +98,10 @@ def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text"
     aims = cut(targets(sources, weights, most))
     whole_copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = aims.withColumn("_copies", whole_copies).withColumn("budget", F.round(F.col("target") - F.col("_copies") * F.col("source_size")).cast("long"))
-    ends = thresholds(sized, aims.select("source", "budget"))
-    plan = cut(aims.alias("a").join(ends.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select("a.*", "threshold"))
     # one row per source; where sources are so many that they don't fit, Spark's own choice of join holds
-    small = plan.count() <= MOST_BROADCAST
+    small = aims.count() <= MOST_BROADCAST
+    ends = thresholds(sized, aims.select("source", "budget"), small)
+    plan = cut(aims.alias("a").join(ends.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select("a.*", "threshold"))
     p = F.broadcast(plan.alias("p")) if small else plan.alias("p")
     joined = sized.alias("d").join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = F.col("_copies") + (F.col("_place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtrace.llm import mixing, shard, token_count
+from claimtrace.llm import host_quality, mixing, secrets, shard, simhash, token_count
 from claimtrace.llm.common import table, whole
 
 SEED = 20240229
@@ -27,6 +27,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.with_components(table(spark, sf_dir, "documents"), width=4, distance=4)
+    return grouped.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = host_quality.judged(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     counted = token_count.with_token_counts(table(spark, sf_dir, "documents"), path, limit=512)
@@ -36,6 +50,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mixing": op4_mixing,
+    "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_host_quality": op9_host_quality,
     "op10_token_counts": op10_token_counts,
 }
 
