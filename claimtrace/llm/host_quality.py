@@ -87,18 +87,40 @@ def host_verdicts(measured: DataFrame, limits: Limits) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select(F.col("_host").alias("host"), "n_docs", "n_failed", rate.alias("rate"), (rate * 100 > limits.host_rate).alias("rejected"))
 
 
+def _failures(limits: Limits) -> tuple[Column, Column]:
+    """Whether a measured document fails by itself, and whether it counts as a failure of its host."""
+    short = (F.col("n_words") < limits.words) | (100 * F.col("n_repeat_words") > limits.repeat * F.col("n_words"))
+    soft = (100 * F.col("n_symbols") > limits.symbols * F.col("word_chars")) | (100 * F.col("n_dup_lines") > limits.dup_lines * F.col("n_lines"))
+    return short, short | soft
+
+
+def _judged(docs: DataFrame, limits: Limits, text: str, host: str) -> tuple[DataFrame, DataFrame]:
+    """The measured documents without their texts, and the rejected hosts as ``_bad, _out``."""
+    rows = docs.select("doc_id", F.col(host).alias("_host"), measures(whole(text)).alias("_m")).select("doc_id", "_host", "_m.*")
+    short, failed = _failures(limits)
+    rows = cut(rows.withColumn("base_failed", short).withColumn("_failed", failed))
+    bad = cut(host_verdicts(rows, limits).filter("rejected").select(F.col("host").alias("_bad"), F.lit(True).alias("_out")))
+    return rows, F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+
+
 def judged(docs: DataFrame, limits: Limits | None = None, text: str = "text", host: str = "source") -> DataFrame:
     """One row per document: ``doc_id``, the counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
     Null texts are measured as empty ones, and so fail. Documents without a host make up a host of their own.
     Repeated rows are judged alike and all count; an empty table gives an empty one; other columns are left out.
     """
-    limits = limits or Limits()
-    rows = docs.select("doc_id", F.col(host).alias("_host"), measures(whole(text)).alias("_m")).select("doc_id", "_host", "_m.*")
-    short = (F.col("n_words") < limits.words) | (100 * F.col("n_repeat_words") > limits.repeat * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > limits.symbols * F.col("word_chars")) | (100 * F.col("n_dup_lines") > limits.dup_lines * F.col("n_lines"))
-    rows = cut(rows.withColumn("base_failed", short).withColumn("_failed", short | soft))
-    bad = cut(host_verdicts(rows, limits).filter("rejected").select(F.col("host").alias("_bad"), F.lit(True).alias("_out")))
-    bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+    rows, bad = _judged(docs, limits or Limits(), text, host)
     rows = rows.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left").withColumn("host_rejected", F.coalesce("_out", F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_bad", "_out", "_failed", "_host")
+
+
+def kept_documents(docs: DataFrame, limits: Limits | None = None, text: str = "text", host: str = "source") -> DataFrame:
+    """The documents that ``judged`` keeps, with the columns of ``docs``.
+
+    Texts are measured a second time in place of shuffling them to their verdicts.
+    """
+    limits = limits or Limits()
+    _, bad = _judged(docs, limits, text, host)
+    rows = docs.withColumn("_m", measures(whole(text)))
+    short = (F.col("_m.n_words") < limits.words) | (100 * F.col("_m.n_repeat_words") > limits.repeat * F.col("_m.n_words"))
+    return rows.filter(~short).join(bad, F.col(host).eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)

@@ -83,15 +83,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
     return found.select("source", "budget", F.shiftleft("_from", HASH_BITS - LEVELS * LEVEL_BITS).alias("threshold"))
 
 
-def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text") -> DataFrame:
-    """One row per document with ``doc_id, source, size, source_size, target, copies, taken``.
+#: A table of one row per source is broadcast up to so many sources (some 40 bytes each).
+MOST_BROADCAST = 100_000
 
-    ``copies`` times is the document in the mix, ``taken`` words in all. Each source is taken whole as often as fits
-    into its target, and once more below a hash threshold for the rest, so no document is taken over ``most`` times,
-    and a source misses its target by a document or so of one last bucket. Null texts have no words; null sources are
-    one source; null ids are hashed as the empty string; repeated rows share a place, so they are taken or left
-    together; sources without words have target 0; an empty table gives an empty one; other columns are left out.
-    """
+
+def _planned(docs: DataFrame, weights: list[int], most: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source, size, _place`` of all documents; and by source its size, target, whole copies, threshold."""
     body = whole(text)
     sized = cut(docs.select("doc_id", "source", n_words(body).alias("size"), place(F.col("doc_id"), body).alias("_place")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -102,12 +99,31 @@ def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text"
     small = aims.count() <= MOST_BROADCAST
     ends = thresholds(sized, aims.select("source", "budget"), small)
     plan = cut(aims.alias("a").join(ends.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select("a.*", "threshold"))
-    p = F.broadcast(plan.alias("p")) if small else plan.alias("p")
-    joined = sized.alias("d").join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = F.col("_copies") + (F.col("_place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
-    joined = joined.select("doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), "_place")
+    return sized, F.broadcast(plan) if small else plan
+
+
+def _copies() -> Column:
+    return F.col("_copies") + (F.col("_place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
+
+
+def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text") -> DataFrame:
+    """One row per document with ``doc_id, source, size, source_size, target, copies, taken``.
+
+    ``copies`` times is the document in the mix, ``taken`` words in all. Each source is taken whole as often as fits
+    into its target, and once more below a hash threshold for the rest, so no document is taken over ``most`` times,
+    and a source misses its target by a document or so of one last bucket. Null texts have no words; null sources are
+    one source; null ids are hashed as the empty string; repeated rows share a place, so they are taken or left
+    together; sources without words have target 0; an empty table gives an empty one; other columns are left out.
+    """
+    sized, plan = _planned(docs, weights, most, text)
+    joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+    joined = joined.select("doc_id", "d.source", "size", "source_size", "target", _copies().alias("copies"))
     return joined.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-#: A table of one row per source is broadcast up to so many sources (some 40 bytes each).
-MOST_BROADCAST = 100_000
+def mixture(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text") -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mixed`` takes it."""
+    _, plan = _planned(docs, weights, most, text)
+    rows = docs.withColumn("_place", place(F.col("doc_id"), whole(text))).alias("d")
+    joined = rows.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).withColumn("_times", _copies())
+    return joined.filter("_times > 0").select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_time")).select(*docs.columns)

@@ -8,10 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtrace.llm import host_quality, mixing, secrets, shard, simhash, token_count
+from claimtrace.llm import host_quality, importance, media, mixing, pieces, secrets, shard, simhash, token_count, toxicity
 from claimtrace.llm.common import table, whole
 
 SEED = 20240229
+#: Of the documents labelled as good, so many at most stand for the target of the quality classifier.
+TARGET_ROWS = 20_000
+
+
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED)
+    return drawn.select("doc_id", "sample", F.size("pieces").alias("n_pieces"), "log_prob", "inclusion", "exact", "pieces")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, training = table(spark, sf_dir, "documents"), toxicity.Training()
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), training)
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", toxicity.held_out(training.folds).alias("held_out"), "score", "predicted")
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +48,28 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    first = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("_good", F.lit(True))
+    marked = docs.join(F.broadcast(first), "doc_id", "left")
+    return importance.resampled(marked, F.col("_good"), share=0.85, seed=SEED)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
 
+def op8_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(whole()).cast("long").alias("n_bytes"))
+    films = media.with_media(docs).withColumn("_read", media.read_back(F.col("media")))
+    return films.select(
+        "doc_id", "n_bytes", "_read.payload_bytes", "_read.payload_sha256", "_read.tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        media.feature(F.col("_read.clips")).alias("feature"),
+    )
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = host_quality.judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
@@ -48,10 +82,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_sampling": op1_sentencepiece_sampling,
+    "op2_toxicity": op2_toxicity,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mixing": op4_mixing,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_importance_resampling": op6_importance_resampling,
     "op7_secret_scan": op7_secret_scan,
+    "op8_mjpeg_media": op8_mjpeg_media,
     "op9_host_quality": op9_host_quality,
     "op10_token_counts": op10_token_counts,
 }

@@ -126,7 +126,7 @@ def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: st
     ``component``. Rows with equal ids stay as they are. Ties can't change a component. An empty table gives an empty
     one. Other columns are left out.
     """
-    rows = cut(docs.select(row_id(text=text).alias("uid"), "doc_id", fingerprints(whole(text), width).alias("fp")))
+    rows = cut(docs.select(row_id(text=text).alias("uid"), "doc_id", F.xxhash64(whole(text)).alias("_text"), fingerprints(whole(text), width).alias("fp")))
     nodes = cut(rows.groupBy("fp").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")))
     n = nodes.count()
     near = cut(components(_stars(nodes, distance)))
@@ -144,3 +144,17 @@ def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: st
     least = parts.groupBy("part").agg(F.min("least").alias("component"))
     of = parts.join(least, "part").select("fp", F.when(F.col("component") < SURROGATE, F.col("component")).alias("component"), F.col("component").alias("_first"))
     return rows.join(of, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+
+
+def representatives(docs: DataFrame, width: int = 4, distance: int = 4, text: str = "text") -> DataFrame:
+    """One document of each component, with the columns of ``docs``: the one with the smallest id.
+
+    Of several texts under that id the one with the smallest hash stays, and of repeated rows one.
+    """
+    rows = with_components(docs, width, distance, text).select("uid", "_text", "_first")
+    stay = cut(rows.filter("uid = _first").groupBy(F.col("uid").alias("_uid")).agg(F.min("_text").alias("_hash"), F.count(F.lit(1)).alias("_many")))
+    chosen = docs.withColumn("_uid", row_id(text=text)).withColumn("_hash", F.xxhash64(whole(text))).join(stay.drop("_many"), ["_uid", "_hash"], "left_semi")
+    if stay.filter("_many > 1").isEmpty():
+        return chosen.select(*docs.columns)
+    # partial aggregates keep one row per task before anything moves, however often a row is repeated
+    return chosen.dropDuplicates(["_uid", "_hash"]).select(*docs.columns)
