@@ -334,7 +334,7 @@ def _split(a: Lattices, searches: list[Search], paths: list[np.ndarray], owners:
 
 
 def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Edges, log probability, value and inclusion score of the ``k`` drawn segmentations of each text, in order.
+    """Edges, log probability, value and log inclusion score of the ``k`` drawn segmentations of each text, in order.
 
     A text has fewer if it can be segmented in fewer ways. The score is the probability that the segmentation's value
     exceeds the largest that wasn't drawn, 1 where nothing was left; probability over score is its weight in an
@@ -358,10 +358,15 @@ def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list
     out = []
     for s in searches:
         bound = -s.queue[0][0] if s.queue else -np.inf
-        out.append([(e, lp, g, -float(np.expm1(-np.exp(min(lp - bound, 700.0))))) for e, lp, g in s.done])
+        out.append([(e, lp, g, _log_inclusion(lp - bound)) for e, lp, g in s.done])
     return out
 
 
+def _log_inclusion(x: float) -> float:
+    """The logarithm of 1 - exp(-exp(x)), also where the probability is too small for a double."""
+    return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
+
+
 _loaded: dict[tuple, Lattices] = {}
 
 
@@ -374,7 +379,7 @@ def lattices(path: str, theta: float) -> Lattices:
 
 def segmented(a: Lattices, texts: list[str], seeds: list[int], k: int) -> tuple[list[int], np.ndarray, np.ndarray, list[tuple]]:
     """For each drawn segmentation the number of its text; all ids, and where each one's end; and rows of number of
-    the draw, log probability, inclusion score and whether decoding gives the text back."""
+    the draw, log probability, log inclusion score and whether decoding gives the text back."""
     drawn = sample(a, texts, seeds, k)
     who = [i for i, x in enumerate(drawn) for _ in x]
     paths = [e for x in drawn for e, *_ in x]
@@ -385,7 +390,7 @@ def segmented(a: Lattices, texts: list[str], seeds: list[int], k: int) -> tuple[
     return who, ids, ends, rows
 
 
-RESULTS = "sample int, pieces array<int>, log_prob double, inclusion double, exact boolean"
+RESULTS = "sample int, pieces array<int>, log_prob double, log_inclusion double, exact boolean"
 
 
 def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta: float = 1.0, text: str = "text") -> DataFrame:

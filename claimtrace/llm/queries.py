@@ -20,7 +20,7 @@ def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED)
-    return drawn.select("doc_id", "sample", F.size("pieces").alias("n_pieces"), "log_prob", "inclusion", "exact", "pieces")
+    return drawn.select("doc_id", "sample", F.size("pieces").alias("n_pieces"), "log_prob", "log_inclusion", "exact", "pieces")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
