@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -358,19 +359,37 @@ def to_media(text: Column) -> Column:
     return stored(text)
 
 
-def read_back(media: Column) -> Column:
-    """What the films hold: their payload as size, hash and checksum of its last 32 bytes, and the clips."""
-
-    def row(film: bytes) -> tuple:
-        payload, clips = recall(film)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), _clip_dicts(clips)
-
-    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, clips {CLIPS}")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for films in batches:
-            yield pd.DataFrame([row(f) for f in films], columns=["payload_bytes", "payload_sha256", "tail_crc32", "clips"])
-
-    return read(media)
+READ = f"media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, clips {CLIPS}"
+#: Films are handed on in groups of texts of so many characters (or one text).
+CHARS_AT_ONCE = 1_000_000
+
+
+def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of READ: the film of each text, and what reading it gives, its payload as size, hash
+    and checksum of its last 32 bytes, and the clips. As ``with_media``; the text itself is left out."""
+    names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "clips"]
+    rest = [c for c in docs.columns if c not in (*names, text)]
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int32())]))]
+
+    def row(body: str) -> tuple:
+        film = store(body)
+        payload, shots = recall(film)
+        return film, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), _clip_dicts(shots)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts, at = batch.select(rest), batch.column("_text"), 0
+            while at < batch.num_rows:
+                rows, size, start = [], 0, at
+                while at < batch.num_rows and (not rows or size < CHARS_AT_ONCE):
+                    body = texts[at].as_py()
+                    rows.append(row(body))
+                    size, at = size + len(body), at + 1
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept.slice(start, at - start).columns, *made], names=[*rest, *names])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), READ])
+    return docs.select(*rest, whole(text).alias("_text")).mapInArrow(each, fields)
 
 
 def clips(media: Column) -> Column:

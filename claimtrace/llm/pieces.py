@@ -11,23 +11,27 @@ perturbed log probabilities, in order, without any but the drawn segmentations b
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimtrace.llm.common import mix64, unit, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
-KEPT, KEPT_EDGES = 300_000, 9_000_000
+KEPT, KEPT_EDGES = 200_000, 5_000_000
 #: Texts are handled in groups of at most so many characters (or one text).
 CHARS_AT_ONCE = 1_000_000
 BASE = np.uint64(0x100000001B3)
+#: The cumulated share of a state's last edge, and of no other.
+FULL = 0xFFFFFFFF
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes are looked up in bitmaps of so many bits before they are searched.
 FILTER_BITS = 21
@@ -56,6 +60,7 @@ class Vocabulary:
                 surface[i] = name.encode("utf-8")
                 names.append(name)
                 ids.append(i)
+        self.id_bytes = 2 if n <= 1 << 16 else 4
         self.surface, self.sizes = np.frombuffer(b"".join(surface), dtype=np.uint8), np.array(list(map(len, surface)))
         self.begin = np.cumsum(self.sizes) - self.sizes
         order = np.argsort([-model.get_score(i) for i in ids], kind="stable")
@@ -75,7 +80,8 @@ class Vocabulary:
         self.maybe = _filter(hashes)
         #: beginnings of longer pieces: where no piece goes on, none needs to be looked for
         self.longer = _filter(np.array(sorted({_hash_of(p[:i]) for p in names for i in range(1, len(p))}), dtype=np.uint64))
-        self.units = re.compile(r" *[^ ]+| +" if self.by_unit else r"(?s).+").findall
+        marks = "".join(map(re.escape, sorted(_marks(names))))
+        self.units = re.compile(rf" *[^ {marks}]+| *[{marks}]+| +" if self.by_unit else r"(?s).+").findall
 
     def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The UTF-8 texts of sequences of pieces that end at ``ends``, without the space that encoding puts before."""
@@ -86,6 +92,25 @@ class Vocabulary:
         return [data[a + 1 : b] if b > a else b"" for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def _marks(names: list[str]) -> set[str]:
+    """ASCII control characters and punctuation, and what shares pieces with them, where letters don't: no piece
+    reaches from a run of these into a run of other characters."""
+    group: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while group.setdefault(c, c) != c:
+            c = group[c]
+        return c
+
+    for name in names:
+        name = name.lstrip(" ")
+        for a, b in zip(name, name[1:], strict=False):
+            group[root(a)] = root(b)
+    letters = {root(chr(c)) for c in range(128) if chr(c).isalnum()}
+    marks = {root(chr(c)) for c in range(128) if not chr(c).isalnum() and c != 32} - letters - {root(" ")}
+    return {c for c in [*group, *map(chr, range(128))] if root(c) in marks}
+
+
 def _hash_of(piece: str) -> int:
     h = 0
     for c in piece:
@@ -113,6 +138,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
+        self._room: dict[str, np.ndarray] = {}
         #: units by number, in the order in which they were met
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
@@ -123,18 +149,42 @@ class Lattices:
         self.next = np.zeros(0, dtype=np.int32)  # the state behind the piece; -1 at the end of the unit
         self.piece = np.zeros(0, dtype=np.int32)  # its id; a character that several bytes spell: -1 - code point
         self.logp = np.zeros(0)
+        self.rest = np.zeros(0)  # log(1 - share), of the other edges together
+
+    def _append(self, name: str, new: np.ndarray) -> None:
+        """Arrays grow within larger buffers, so that growing costs no copy each time."""
+        old = getattr(self, name)
+        n, room = len(old) + len(new), self._room.get(name)
+        if room is None or n > len(room):
+            room = self._room[name] = np.empty(n + n // 2, dtype=old.dtype)
+            room[: len(old)] = old
+        room[len(old) : n] = new
+        setattr(self, name, room[:n])
 
     def build(self, units: list[str]) -> None:
-        """Lattices of new units."""
+        """Lattices of new units. States are numbered by how far the end of the unit is, so that the masses of all
+        paths from a state to the end can be summed for all units at once, one distance after the other."""
         v, base, base_edges = self.vocabulary, len(self.first) - 1, len(self.logp)
         sizes = np.array([len(u) for u in units])
         chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         total = len(chars)
         behind = np.repeat(np.cumsum(sizes), sizes)  # the place behind each place's unit
         places = np.arange(total)
+        left = behind - places
+        by_left = np.argsort(left, kind="stable")
+        levels = np.searchsorted(left[by_left], np.arange(1, sizes.max() + 2)).tolist()
+        state = np.empty(total, dtype=np.int64)
+        state[by_left] = places
         live, h = places, np.zeros(total, dtype=np.uint64)
-        single = np.zeros(total, dtype=bool)
+        single, counts = np.zeros(total, dtype=bool), np.zeros(total, dtype=np.int64)
         found = []
+
+        def edges(start: np.ndarray, n: int, ids: np.ndarray, weights: np.ndarray) -> None:
+            s, end = state[start], start + n
+            last = end == behind[start]
+            found.append((s, counts[s], np.where(last, total, state[np.where(last, start, end)]), ids, weights))
+            counts[s] += 1
+
         for n in range(1, v.longest + 1):
             with np.errstate(over="ignore"):
                 h = h * BASE + chars[live + n - 1] + np.uint64(1)
@@ -143,7 +193,7 @@ class Lattices:
             at = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
             true = v.hashes[at] == h[hit]
             start, at = live[hit[true]], at[true]
-            found.append((start, start + n, v.ids[at], v.weights[at]))
+            edges(start, n, v.ids[at], v.weights[at])
             if n == 1:
                 single[start] = True
             on = np.flatnonzero(v.longer[slots] & (live + n < behind[live]))
@@ -153,42 +203,40 @@ class Lattices:
         bare = places[~single]
         code = chars[bare].astype(np.int64)
         n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        found.append((bare, bare + 1, np.where(code < 0x80, v.byte_ids[code % 0x80], -1 - code).astype(np.int32), n_bytes * v.byte_weight))
-        start, end, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(start, kind="stable")
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        edges_of = np.bincount(start, minlength=total)
-        first = np.concatenate([[0], np.cumsum(edges_of)])
-        # backward masses, from the ends of all units at once
-        beta = np.zeros(total)
-        last = end == behind[start]
-        end = np.where(last, start, end)
-        left = behind - places
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, sizes.max() + 2))
-        score = weight
-        for d in range(1, sizes.max() + 1):
-            s = by_left[bounds[d - 1] : bounds[d]]
-            many = edges_of[s]
-            offset = np.cumsum(many) - many
-            e = np.repeat(first[s] - offset, many) + np.arange(many.sum())
-            x = weight[e] + np.where(last[e], 0.0, beta[end[e]])
-            score[e] = x
+        edges(bare, 1, np.where(code < 0x80, v.byte_ids[code % 0x80], -1 - code).astype(np.int32), n_bytes * v.byte_weight)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        n_edges = int(first[-1])
+        end, piece, logp, rank = np.empty(n_edges, dtype=np.int64), np.empty(n_edges, dtype=np.int32), np.empty(n_edges), np.empty(n_edges, dtype=np.int64)
+        for s, r, e, ids, weights in found:
+            at = first[s] + r
+            end[at], piece[at], logp[at], rank[at] = e, ids, weights, r
+        beta = np.zeros(total + 1)  # the last is the end of any unit
+        for low, high in zip(levels, levels[1:], strict=False):
+            a, b = first[low], first[high]
+            offset, many = first[low:high] - a, counts[low:high]
+            x = logp[a:b]
+            x += beta[end[a:b]]
             top = np.maximum.reduceat(x, offset)
-            beta[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), offset))
-        logp = np.minimum(score - beta[start], 0.0)
-        order = np.lexsort((-logp, start))
-        end, piece, logp, last = end[order], piece[order], logp[order], last[order]
-        upto = np.cumsum(np.exp(logp))
-        upto -= np.repeat(np.concatenate([[0.0], upto])[first[:-1]], edges_of)
-        share = np.clip(np.rint(upto * 2.0**32) - 1, 0, 2.0**32 - 1).astype(np.uint32)
-        share[first[1:] - 1] = np.uint32(0xFFFFFFFF)
-        logp[np.repeat(edges_of == 1, edges_of)] = 0.0
-        self.start = np.concatenate([self.start, base + np.cumsum(sizes) - sizes])
-        self.first = np.concatenate([self.first, base_edges + first[1:]])
-        self.share, self.piece = np.concatenate([self.share, share]), np.concatenate([self.piece, piece])
-        self.next = np.concatenate([self.next, np.where(last, -1, end + base).astype(np.int32)])
-        self.logp = np.concatenate([self.logp, logp])
+            beta[low:high] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), offset))
+            x -= np.repeat(beta[low:high], many)
+        np.minimum(logp, 0.0, out=logp)
+        owner = np.repeat(places, counts)
+        logp[counts[owner] == 1] = 0.0
+        # shares as whole numbers, so that they don't depend on what else is built
+        part = np.rint(np.exp(logp) * 2.0**32).astype(np.int64)
+        order = np.argsort((owner << 34) | ((1 << 32) - part >> 4 << 5) | rank)
+        end, piece, logp, part = end[order], piece[order], logp[order], part[order]
+        upto = np.concatenate([[0], np.cumsum(part)])
+        share = np.clip(upto[1:] - np.repeat(upto[first[:-1]], counts) - 1, 0, FULL - 1).astype(np.uint32)
+        share[first[1:] - 1] = FULL
+        last = end == total
+        with np.errstate(divide="ignore"):
+            rest = np.log(-np.expm1(logp))
+        for name, new in (
+            ("start", base + state[np.cumsum(sizes) - sizes]), ("first", base_edges + first[1:]), ("share", share), ("piece", piece),
+            ("next", np.where(last, -1, end + base)), ("logp", logp), ("rest", rest),
+        ):
+            self._append(name, new)
 
     def starts(self, texts: list[str]) -> list[np.ndarray]:
         """The first states of each text's units. Lattices of new units are built, all at once."""
@@ -248,89 +296,133 @@ class Lattices:
         return out, np.concatenate([[0], upto])[ends]
 
 
+MASK = 0xFFFFFFFFFFFFFFFF
+
+
+def _mix(x: int) -> int:
+    """``mix64`` of one word."""
+    x &= MASK
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def _unit(word: int) -> float:
+    return ((word >> 12) + 0.5) * 2.0**-52
+
+
 class Search:
     """The A* search over one text's segmentations: the drawn ones, and the sets that wait by value."""
 
     def __init__(self, starts: np.ndarray, seed: int):
-        self.units = starts
-        self.key = mix64(np.array([seed & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0]
-        root = -np.log(-np.log(unit(self.word(0))))
+        self.units, self.key = starts, _mix(_mix(seed) ^ 0x2545F4914F6CDD1D)
         #: (-value, tie, edges of the parent, unit of each, place, barred edges)
-        self.queue: list[tuple] = [(-float(root), 0, None, None, 0, ())]
+        self.queue: list[tuple] = [(math.log(-math.log(_unit(self.word(0)))), 0, None, None, 0, ())]
         self.pushed = 1
         self.done: list[tuple[np.ndarray, float, float]] = []  # edges, log probability, value
 
-    def word(self, i: int) -> np.uint64:
+    def word(self, i: int) -> int:
         """Random words that no walk uses."""
-        with np.errstate(over="ignore"):
-            return mix64(np.array([self.key ^ np.uint64(0x2545F4914F6CDD1D)]) + np.uint64(i) * GOLDEN)[0]
+        return _mix(self.key + i * 0x9E3779B97F4A7C15)
 
-    def pop(self, a: Lattices) -> tuple[np.ndarray, np.uint64, np.ndarray]:
+    def pop(self, a: Lattices) -> tuple[np.ndarray, int, np.ndarray]:
         """Takes the set with the largest value. Returns what has to be walked: states, a seed, and their places."""
         value, _, edges, owner, self.place, self.barred = heapq.heappop(self.queue)
         self.value, turn = -value, len(self.done)
         seed = self.word(4 * turn + 1)
         if edges is None:
-            self.head, self.head_owner = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            self.head, self.head_owner = edges, owner
             return self.units, seed, np.arange(len(self.units))
-        options = _others(a, edges[self.place], self.barred)
-        p = np.cumsum(np.exp(a.logp[options]))
-        other = options[min(np.searchsorted(p, unit(self.word(4 * turn + 2)) * p[-1], side="right"), len(options) - 1)]
+        options = _others(a, self.barred)
+        shares = [math.exp(x) for x in a.logp[options].tolist()]
+        draw, k = _unit(self.word(4 * turn + 2)) * sum(shares), 0
+        while k < len(shares) - 1 and draw >= shares[k]:
+            draw, k = draw - shares[k], k + 1
         u = int(owner[self.place])
-        self.head, self.head_owner = np.append(edges[: self.place], other), np.append(owner[: self.place], u)
-        after = int(a.next[other])
+        self.head, self.head_owner = np.append(edges[: self.place], options[k]), owner[: self.place + 1]
+        after = int(a.next[options[k]])
         if after >= 0:
             return np.append(after, self.units[u + 1 :]), seed, np.arange(u, len(self.units))
         return self.units[u + 1 :], seed, np.arange(u + 1, len(self.units))
 
 
-def _others(a: Lattices, edge: int, barred: tuple[int, ...]) -> np.ndarray:
-    """The edges beside ``edge`` that aren't barred."""
-    state = np.searchsorted(a.first, edge, side="right") - 1
-    return np.setdiff1d(np.arange(a.first[state], a.first[state + 1]), barred)
+def _others(a: Lattices, barred: tuple[int, ...]) -> list[int]:
+    """The edges of the state of ``barred`` that aren't among them."""
+    low = high = barred[0]
+    share = a.share
+    while low and share[low - 1] != FULL:
+        low -= 1
+    while share[high] != FULL:
+        high += 1
+    return [e for e in range(low, high + 1) if e not in barred]
+
+
+#: Gumbel noise of 52-bit words isn't above this.
+MOST_NOISE = 36.8
+#: Of a path the sets at so many places are perturbed at first; the others if it turns out that one could be next.
+NEAR = 384
 
 
 def _split(a: Lattices, searches: list[Search], paths: list[np.ndarray], owners: list[np.ndarray], k: int) -> None:
-    """Takes over what each search has drawn, and splits what remains of its set by the places of the path."""
-    edges = np.concatenate(paths)
+    """Takes over what each search has drawn, and queues the largest of the sets into which the rest of its set splits."""
     sizes = np.array(list(map(len, paths)))
-    logs = a.logp[edges]
-    upto = np.cumsum(logs)
-    ends = np.cumsum(sizes)
-    own = np.flatnonzero(sizes)
-    total = np.zeros(len(searches))
-    total[own] = np.add.reduceat(logs, (ends - sizes)[own])
+    logs, begin = a.logp[np.concatenate(paths)], np.cumsum(sizes) - sizes
+    total, own = np.zeros(len(searches)), np.flatnonzero(sizes)
+    if len(own):
+        total[own] = np.add.reduceat(logs, begin[own])
     for s, path, lp in zip(searches, paths, total.tolist(), strict=True):
         s.done.append((path, lp, s.value))
-    if not len(edges):
-        return
-    doc = np.repeat(np.arange(len(searches)), sizes)
-    inside = np.arange(len(edges)) - (ends - sizes)[doc]
-    before = upto - logs - np.concatenate([[0.0], upto])[(ends - sizes)][doc]
-    with np.errstate(divide="ignore", over="ignore"):
-        mass = before + np.log(-np.expm1(logs))  # the path up to the place, and any other edge there
-        for i, s in enumerate(searches):
-            if s.barred and sizes[i]:
-                at = ends[i] - sizes[i] + s.place
-                left = _others(a, edges[at], (*s.barred, edges[at]))
-                mass[at] = before[at] + np.log(np.exp(a.logp[left]).sum()) if len(left) else -np.inf
-        mass[inside < np.array([s.place for s in searches])[doc]] = -np.inf
-        keys = np.array([s.word(4 * len(s.done) + 3) for s in searches], dtype=np.uint64)
-        noise = -np.log(unit(mix64(keys[doc] + inside.astype(np.uint64) * GOLDEN)))
-        # Gumbels at the masses that stay below the value of the set
-        bound = np.array([s.value for s in searches])
-        values = np.where(mass > -np.inf, -np.logaddexp(-bound[doc], np.log(noise) - mass), -np.inf)
-    # of each search the sets that can still be drawn from, and one more for the inclusion scores
-    for _ in range(k - len(searches[0].done) + 1):
-        best = np.maximum.reduceat(values, (ends - sizes)[own])
-        at = np.flatnonzero((values == np.repeat(best, sizes[own])) & (values > -np.inf))
-        which, once = np.unique(doc[at], return_index=True)
-        for i, e in zip(which.tolist(), at[once].tolist(), strict=True):
-            s, place = searches[i], int(inside[e])
-            barred = (*s.barred, int(edges[e])) if place == s.place else (int(edges[e]),)
-            heapq.heappush(s.queue, (-float(values[e]), s.pushed, paths[i], owners[i], place, barred))
-            s.pushed += 1
-        values[at[once]] = -np.inf
+    want = k - len(searches[0].done) + 1  # the sets that can still be drawn from, and one for the inclusion scores
+    todo, near = [i for i in own.tolist() if paths[i][searches[i].place :].size], NEAR
+    while todo:
+        part = [paths[i][searches[i].place : searches[i].place + near] for i in todo]
+        head = [0.0 if not searches[i].place else float(logs[begin[i] : begin[i] + searches[i].place].sum()) for i in todo]
+        found = _perturbed(a, [searches[i] for i in todo], part, head, want)
+        again = []
+        for i, edges, (best, behind) in zip(todo, part, found, strict=True):
+            s = searches[i]
+            if s.place + len(edges) < len(paths[i]) and (len(best) < want or best[-1][0] < behind + MOST_NOISE):
+                again.append(i)  # a set further on could be larger than the last of these
+                continue
+            for value, e in best:
+                place = s.place + e
+                barred = (*s.barred, int(edges[e])) if e == 0 and s.barred else (int(edges[e]),)
+                # a Gumbel that stays below the value of the set that is split
+                bounded = -float(np.logaddexp(-s.value, -value))
+                heapq.heappush(s.queue, (-bounded, s.pushed, paths[i], owners[i], place, barred))
+                s.pushed += 1
+        todo, near = again, 1 << 62
+
+
+def _perturbed(a: Lattices, searches: list[Search], paths: list[np.ndarray], heads: list[float], want: int) -> list[tuple[list[tuple[float, int]], float]]:
+    """For each search the ``want`` largest perturbed masses by place of its path, largest first, and the mass of all
+    that agrees with the whole path."""
+    sizes = np.array(list(map(len, paths)))
+    edges, ends = np.concatenate(paths), np.cumsum(sizes)
+    begin = ends - sizes
+    upto = np.concatenate([[0.0], np.cumsum(a.logp[edges])])
+    before = upto[:-1] + np.repeat(np.array(heads) - upto[begin], sizes)
+    mass = before + a.rest[edges]  # the path up to the place, and any other edge there
+    behind = upto[ends] - upto[begin] + np.array(heads)
+    for i, s in enumerate(searches):
+        if s.barred:
+            left = _others(a, (*s.barred, int(paths[i][0])))
+            mass[begin[i]] = heads[i] + math.log(sum(map(math.exp, a.logp[left].tolist()))) if left else -np.inf
+    keys = np.array([s.word(4 * len(s.done) + 3) for s in searches], dtype=np.uint64)
+    inside = np.arange(len(edges)) - np.repeat(begin, sizes)
+    with np.errstate(over="ignore"):
+        words = mix64(np.repeat(keys, sizes) + inside.astype(np.uint64) * GOLDEN)
+    values = mass - np.log(-np.log(unit(words)))
+    best: list[list[tuple[float, int]]] = [[] for _ in searches]
+    for _ in range(want):
+        most = np.maximum.reduceat(values, begin)
+        hit = np.flatnonzero((values == np.repeat(most, sizes)) & (values > -np.inf))
+        which, once = np.unique(np.searchsorted(ends, hit, side="right"), return_index=True)
+        hit = hit[once]
+        for i, e, v in zip(which.tolist(), inside[hit].tolist(), values[hit].tolist(), strict=True):
+            best[i].append((v, e))
+        values[hit] = -np.inf
+    return list(zip(best, behind.tolist(), strict=True))
 
 
 def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -352,8 +444,8 @@ def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list
         owner, ends = np.repeat(places, taken), np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
         paths, owners = [], []
         for s, x, y in zip(live, ends, ends[1:], strict=False):
-            paths.append(np.concatenate([s.head, edges[x:y]]))
-            owners.append(np.concatenate([s.head_owner, owner[x:y]]))
+            paths.append(edges[x:y] if s.head is None else np.concatenate([s.head, edges[x:y]]))
+            owners.append(owner[x:y] if s.head is None else np.concatenate([s.head_owner, owner[x:y]]))
         _split(a, live, paths, owners, k)
     out = []
     for s in searches:
@@ -390,14 +482,14 @@ def segmented(a: Lattices, texts: list[str], seeds: list[int], k: int) -> tuple[
     return who, ids, ends, rows
 
 
-RESULTS = "sample int, pieces array<int>, log_prob double, log_inclusion double, exact boolean"
+RESULTS = "sample int, n_pieces int, pieces binary, log_prob double, log_inclusion double, exact boolean"
 
 
 def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta: float = 1.0, text: str = "text") -> DataFrame:
     """One row per document and drawn segmentation: ``docs`` with the columns of RESULTS.
 
-    ``sample`` counts from 1 in the order in which they were drawn, ``pieces`` are ids, and ``exact`` says that
-    decoding them gave the text back. Draws depend on ``seed`` and the row's id and text only, so equal rows draw
+    ``sample`` counts from 1 in the order in which they were drawn, ``pieces`` are ids as little-endian words of
+    ``id_bytes`` bytes, the form in which training reads them, and ``exact`` says that decoding them gave the text back. Draws depend on ``seed`` and the row's id and text only, so equal rows draw
     equally. Null texts are segmented like empty ones: once, into no pieces. A text with fewer segmentations than
     ``k`` gives fewer rows. Input columns named like a result are replaced; an empty table gives an empty one.
     """
@@ -417,12 +509,29 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta:
                     size, end = size + len(texts[end]), end + 1
                 a.forget()
                 who, ids, ends, drawn = segmented(a, texts[at:end], keys[at:end], k)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, type=pa.int32()))
+                width = a.vocabulary.id_bytes
+                offsets = (np.concatenate([[0], ends]) * width).astype(np.int64)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))]).cast(pa.binary())
                 cols = list(zip(*drawn, strict=True))
-                made = [pa.array(cols[0], pa.int32()), lists, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())]
+                made = [pa.array(cols[0], pa.int32()), pa.array(np.diff(ends, prepend=0), pa.int32()), packed, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())]
                 taken = kept.take(pa.array([at + i for i in who], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*rest, *names])
                 at = end
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), RESULTS])
     return rows.mapInArrow(draw, fields)
+
+
+def decoded(packed: Column, path: str) -> Column:
+    """The texts of packed pieces; null for null."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v = lattices(path, 1.0).vocabulary
+        for rows in batches:
+            ids = [np.frombuffer(b"" if x is None else x, dtype=f"<u{v.id_bytes}") for x in rows]
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *ids]).astype(np.int64)
+            texts = v.decode_many(flat, np.cumsum(list(map(len, ids))).astype(np.int64))
+            yield pd.Series([None if x is None else t.decode("utf-8") for x, t in zip(rows, texts, strict=True)], dtype=object)
+
+    return decode(packed)

@@ -20,7 +20,7 @@ def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED)
-    return drawn.select("doc_id", "sample", F.size("pieces").alias("n_pieces"), "log_prob", "log_inclusion", "exact", "pieces")
+    return drawn.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "exact", "pieces")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(whole()).cast("long").alias("n_bytes"))
-    films = media.with_media(docs).withColumn("_read", media.read_back(F.col("media")))
+    films = media.stored_and_read(docs)
     return films.select(
-        "doc_id", "n_bytes", "_read.payload_bytes", "_read.payload_sha256", "_read.tail_crc32",
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        media.feature(F.col("_read.clips")).alias("feature"),
+        media.feature(F.col("clips")).alias("feature"),
     )
 
 
