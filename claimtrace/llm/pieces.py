@@ -10,6 +10,7 @@ perturbed log probabilities, in order, without any but the drawn segmentations b
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 import re
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from claimtrace.llm.common import mix64, unit, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
-KEPT, KEPT_EDGES = 200_000, 5_000_000
+KEPT, KEPT_EDGES = 180_000, 3_600_000
 #: Texts are handled in groups of at most so many characters (or one text).
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 500_000
 BASE = np.uint64(0x100000001B3)
 #: The cumulated share of a state's last edge, and of no other.
 FULL = 0xFFFFFFFF
@@ -77,7 +78,11 @@ class Vocabulary:
             raise ValueError(f"{path}: two pieces have one hash")
         self.hashes, self.ids = hashes[at], np.array(ids, dtype=np.int32)[at]
         self.weights = weight[self.ids]
-        self.maybe = _filter(hashes)
+        #: the place in ``hashes`` of the piece with a hash's slot; -1: none, -2: several
+        slots, self.place = _slots(self.hashes), np.full(1 << FILTER_BITS, -1, dtype=np.int32)
+        self.place[slots] = np.arange(len(slots))
+        taken, times = np.unique(slots, return_counts=True)
+        self.place[taken[times > 1]] = -2
         #: beginnings of longer pieces: where no piece goes on, none needs to be looked for
         self.longer = _filter(np.array(sorted({_hash_of(p[:i]) for p in names for i in range(1, len(p))}), dtype=np.uint64))
         marks = "".join(map(re.escape, sorted(_marks(names))))
@@ -189,9 +194,12 @@ class Lattices:
             with np.errstate(over="ignore"):
                 h = h * BASE + chars[live + n - 1] + np.uint64(1)
             slots = _slots(h)
-            hit = np.flatnonzero(v.maybe[slots])
-            at = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
-            true = v.hashes[at] == h[hit]
+            at = v.place[slots]
+            hit = np.flatnonzero(at != -1)
+            at, own = at[hit], h[hit]
+            several = np.flatnonzero(at == -2)
+            at[several] = np.minimum(np.searchsorted(v.hashes, own[several]), len(v.hashes) - 1)
+            true = v.hashes[at] == own
             start, at = live[hit[true]], at[true]
             edges(start, n, v.ids[at], v.weights[at])
             if n == 1:
@@ -269,8 +277,8 @@ class Lattices:
                 e[on] += 1
                 on = on[draw[on] > self.share[e[on]]]
             steps.append((live, e))
-            taken[live] += 1
             now = self.next[e]
+            taken[live[np.flatnonzero(now < 0)]] = len(steps)
             on = np.flatnonzero(now >= 0)
             with np.errstate(over="ignore"):
                 live, now, keys = live[on], now[on], keys[on] + np.uint64(0xD1342543DE82EF95)
@@ -316,8 +324,8 @@ class Search:
 
     def __init__(self, starts: np.ndarray, seed: int):
         self.units, self.key = starts, _mix(_mix(seed) ^ 0x2545F4914F6CDD1D)
-        #: (-value, tie, edges of the parent, unit of each, place, barred edges)
-        self.queue: list[tuple] = [(math.log(-math.log(_unit(self.word(0)))), 0, None, None, 0, ())]
+        #: (-value, tie, the path from which the set departs, at which place, barred edges there)
+        self.queue: list[tuple] = [(math.log(-math.log(_unit(self.word(0)))), 0, None, 0, ())]
         self.pushed = 1
         self.done: list[tuple[np.ndarray, float, float]] = []  # edges, log probability, value
 
@@ -327,25 +335,43 @@ class Search:
 
     def pop(self, a: Lattices) -> tuple[np.ndarray, int, np.ndarray]:
         """Takes the set with the largest value. Returns what has to be walked: states, a seed, and their places."""
-        value, _, edges, owner, self.place, self.barred = heapq.heappop(self.queue)
+        value, _, path, self.place, self.barred = heapq.heappop(self.queue)
         self.value, turn = -value, len(self.done)
         seed = self.word(4 * turn + 1)
-        if edges is None:
-            self.head, self.head_owner = edges, owner
+        if path is None:
+            self.head, self.unit = None, 0
             return self.units, seed, np.arange(len(self.units))
         options = _others(a, self.barred)
         shares = [math.exp(x) for x in a.logp[options].tolist()]
         draw, k = _unit(self.word(4 * turn + 2)) * sum(shares), 0
         while k < len(shares) - 1 and draw >= shares[k]:
             draw, k = draw - shares[k], k + 1
-        u = int(owner[self.place])
-        self.head, self.head_owner = np.append(edges[: self.place], options[k]), owner[: self.place + 1]
+        u = path.unit_of(self.place)
+        self.head, self.unit = np.append(path.edges[: self.place], options[k]), u
         after = int(a.next[options[k]])
         if after >= 0:
             return np.append(after, self.units[u + 1 :]), seed, np.arange(u, len(self.units))
         return self.units[u + 1 :], seed, np.arange(u + 1, len(self.units))
 
 
+class Path:
+    """A drawn segmentation: its edges, of which those behind the head were drawn for units from ``first`` on, ``taken``
+    for each; the one before them, if any, belongs to unit ``unit``."""
+
+    __slots__ = ("edges", "first", "head", "taken", "unit")
+
+    def __init__(self, head: np.ndarray | None, unit: int, edges: np.ndarray, first: int, taken: np.ndarray):
+        self.edges = edges if head is None else np.concatenate([head, edges])
+        self.head, self.unit, self.first, self.taken = 0 if head is None else len(head), unit, first, taken
+
+    def unit_of(self, place: int) -> int:
+        """The unit of an edge that isn't before the last of the head."""
+        at = place - self.head
+        if at < 0:
+            return self.unit
+        return self.first + int(np.searchsorted(np.cumsum(self.taken[: at + 1]), at, side="right"))
+
+
 def _others(a: Lattices, barred: tuple[int, ...]) -> list[int]:
     """The edges of the state of ``barred`` that aren't among them."""
     low = high = barred[0]
@@ -363,8 +389,9 @@ MOST_NOISE = 36.8
 NEAR = 384
 
 
-def _split(a: Lattices, searches: list[Search], paths: list[np.ndarray], owners: list[np.ndarray], k: int) -> None:
+def _split(a: Lattices, searches: list[Search], drawn: list[Path], k: int) -> None:
     """Takes over what each search has drawn, and queues the largest of the sets into which the rest of its set splits."""
+    paths = [p.edges for p in drawn]
     sizes = np.array(list(map(len, paths)))
     logs, begin = a.logp[np.concatenate(paths)], np.cumsum(sizes) - sizes
     total, own = np.zeros(len(searches)), np.flatnonzero(sizes)
@@ -389,7 +416,7 @@ def _split(a: Lattices, searches: list[Search], paths: list[np.ndarray], owners:
                 barred = (*s.barred, int(edges[e])) if e == 0 and s.barred else (int(edges[e]),)
                 # a Gumbel that stays below the value of the set that is split
                 bounded = -float(np.logaddexp(-s.value, -value))
-                heapq.heappush(s.queue, (-bounded, s.pushed, paths[i], owners[i], place, barred))
+                heapq.heappush(s.queue, (-bounded, s.pushed, drawn[i], place, barred))
                 s.pushed += 1
         todo, near = again, 1 << 62
 
@@ -433,6 +460,21 @@ def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list
     unbiased sum.
     """
     searches = [Search(s, seed) for s, seed in zip(a.starts(texts), seeds, strict=True)]
+    collects = gc.isenabled()
+    gc.disable()  # there are no cycles among the many small objects below
+    try:
+        _search(a, searches, k)
+    finally:
+        if collects:
+            gc.enable()
+    out = []
+    for s in searches:
+        bound = -s.queue[0][0] if s.queue else -np.inf
+        out.append([(e, lp, g, _log_inclusion(lp - bound)) for e, lp, g in s.done])
+    return out
+
+
+def _search(a: Lattices, searches: list[Search], k: int) -> None:
     for _ in range(k):
         live = [s for s in searches if s.queue]
         if not live:
@@ -441,17 +483,12 @@ def sample(a: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list
         sizes = np.array([len(w[0]) for w in todo])
         places = np.concatenate([w[2] for w in todo])
         edges, taken = a.walk(np.concatenate([w[0] for w in todo]), np.repeat(np.array([w[1] for w in todo], dtype=np.uint64), sizes), places)
-        owner, ends = np.repeat(places, taken), np.concatenate([[0], np.cumsum(taken)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-        paths, owners = [], []
-        for s, x, y in zip(live, ends, ends[1:], strict=False):
-            paths.append(edges[x:y] if s.head is None else np.concatenate([s.head, edges[x:y]]))
-            owners.append(owner[x:y] if s.head is None else np.concatenate([s.head_owner, owner[x:y]]))
-        _split(a, live, paths, owners, k)
-    out = []
-    for s in searches:
-        bound = -s.queue[0][0] if s.queue else -np.inf
-        out.append([(e, lp, g, _log_inclusion(lp - bound)) for e, lp, g in s.done])
-    return out
+        limits = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(taken)])[limits].tolist()
+        drawn = []
+        for i, (s, (_, _, own)) in enumerate(zip(live, todo, strict=True)):
+            drawn.append(Path(s.head, s.unit, edges[ends[i] : ends[i + 1]], int(own[0]) if len(own) else 0, taken[limits[i] : limits[i + 1]]))
+        _split(a, live, drawn, k)
 
 
 def _log_inclusion(x: float) -> float:
