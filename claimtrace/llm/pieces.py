@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from claimtrace.llm.common import mix64, unit, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
-KEPT, KEPT_EDGES = 180_000, 3_600_000
+KEPT, KEPT_EDGES = 150_000, 3_200_000
 #: Texts are handled in groups of at most so many characters (or one text).
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 250_000
 BASE = np.uint64(0x100000001B3)
 #: The cumulated share of a state's last edge, and of no other.
 FULL = 0xFFFFFFFF
@@ -154,14 +154,13 @@ class Lattices:
         self.next = np.zeros(0, dtype=np.int32)  # the state behind the piece; -1 at the end of the unit
         self.piece = np.zeros(0, dtype=np.int32)  # its id; a character that several bytes spell: -1 - code point
         self.logp = np.zeros(0)
-        self.rest = np.zeros(0)  # log(1 - share), of the other edges together
 
     def _append(self, name: str, new: np.ndarray) -> None:
         """Arrays grow within larger buffers, so that growing costs no copy each time."""
         old = getattr(self, name)
         n, room = len(old) + len(new), self._room.get(name)
         if room is None or n > len(room):
-            room = self._room[name] = np.empty(n + n // 2, dtype=old.dtype)
+            room = self._room[name] = np.empty(n + n // 4, dtype=old.dtype)
             room[: len(old)] = old
         room[len(old) : n] = new
         setattr(self, name, room[:n])
@@ -238,11 +237,9 @@ class Lattices:
         share = np.clip(upto[1:] - np.repeat(upto[first[:-1]], counts) - 1, 0, FULL - 1).astype(np.uint32)
         share[first[1:] - 1] = FULL
         last = end == total
-        with np.errstate(divide="ignore"):
-            rest = np.log(-np.expm1(logp))
         for name, new in (
             ("start", base + state[np.cumsum(sizes) - sizes]), ("first", base_edges + first[1:]), ("share", share), ("piece", piece),
-            ("next", np.where(last, -1, end + base)), ("logp", logp), ("rest", rest),
+            ("next", np.where(last, -1, end + base)), ("logp", logp),
         ):
             self._append(name, new)
 
@@ -427,9 +424,11 @@ def _perturbed(a: Lattices, searches: list[Search], paths: list[np.ndarray], hea
     sizes = np.array(list(map(len, paths)))
     edges, ends = np.concatenate(paths), np.cumsum(sizes)
     begin = ends - sizes
-    upto = np.concatenate([[0.0], np.cumsum(a.logp[edges])])
+    logs = a.logp[edges]
+    upto = np.concatenate([[0.0], np.cumsum(logs)])
     before = upto[:-1] + np.repeat(np.array(heads) - upto[begin], sizes)
-    mass = before + a.rest[edges]  # the path up to the place, and any other edge there
+    with np.errstate(divide="ignore"):
+        mass = before + np.log(-np.expm1(logs))  # the path up to the place, and any other edge there
     behind = upto[ends] - upto[begin] + np.array(heads)
     for i, s in enumerate(searches):
         if s.barred:
@@ -538,14 +537,15 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta:
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lattices(path, theta)
         for batch in batches:
-            texts, keys = batch.column("_text").to_pylist(), batch.column("_key").to_pylist()
+            bodies, keys = batch.column("_text"), batch.column("_key").to_pylist()
             kept, at = batch.select(rest), 0
-            while at < len(texts):
-                size, end = len(texts[at]), at + 1
-                while end < len(texts) and size + len(texts[end]) <= CHARS_AT_ONCE:
-                    size, end = size + len(texts[end]), end + 1
+            while at < batch.num_rows:
+                texts, size, end = [], 0, at
+                while end < batch.num_rows and (not texts or size < CHARS_AT_ONCE):
+                    texts.append(bodies[end].as_py())
+                    size, end = size + len(texts[-1]), end + 1
                 a.forget()
-                who, ids, ends, drawn = segmented(a, texts[at:end], keys[at:end], k)
+                who, ids, ends, drawn = segmented(a, texts, keys[at:end], k)
                 width = a.vocabulary.id_bytes
                 offsets = (np.concatenate([[0], ends]) * width).astype(np.int64)
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))]).cast(pa.binary())
