@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from claimtrace.llm.common import mix64, unit, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
-KEPT, KEPT_EDGES = 150_000, 3_200_000
+KEPT, KEPT_EDGES = 110_000, 2_200_000
 #: Texts are handled in groups of at most so many characters (or one text).
-CHARS_AT_ONCE = 250_000
+CHARS_AT_ONCE = 200_000
 BASE = np.uint64(0x100000001B3)
 #: The cumulated share of a state's last edge, and of no other.
 FULL = 0xFFFFFFFF
