@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut, whole
+from claimtrace.llm.common import cut, give_back, whole
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -64,6 +64,7 @@ def measures(text: Column) -> Column:
         names = [x.split()[0] for x in STATS.split(", ")]
         for texts in batches:
             yield pd.DataFrame([measure(t) for t in texts], columns=names, dtype="int64")
+        give_back()
 
     return measured(text)
 

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import mix64, unit, whole
+from claimtrace.llm.common import give_back, mix64, unit, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
 KEPT, KEPT_EDGES = 110_000, 2_200_000
@@ -554,6 +554,8 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta:
                 taken = kept.take(pa.array([at + i for i in who], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*rest, *names])
                 at = end
+        a.clear()
+        give_back()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), RESULTS])
     return rows.mapInArrow(draw, fields)

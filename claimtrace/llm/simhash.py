@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import SURROGATE, cut, row_id, whole
+from claimtrace.llm.common import SURROGATE, cut, give_back, row_id, whole
 from claimtrace.llm.graph import components
 
 BITS = 64
@@ -53,6 +53,7 @@ def fingerprints(text: Column, width: int) -> Column:
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint_of(t, width) for t in texts], dtype=np.uint64).view(np.int64))
+        give_back()
 
     return hashed(text)
 
