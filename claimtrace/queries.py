@@ -359,3 +359,102 @@ def t1_findings_order(spark, sf_dir):
     from pyspark.sql import Window
 
     return first.select("conv_id", "turn", F.row_number().over(Window.orderBy("r", "conv_id", "turn")).cast("long").alias("position_rank"))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown made from each document's columns, so that what the analyser has to find is known in SQL."""
+    d = t(spark, sf_dir, "documents")
+    text = F.format_string(
+        "# %s\nWe bound {{results.n_chars}} and {{ bad }} to %d words [@doc%d].\n## Methods\nSee Table %d.\n```python\nx = %d\n```\nplt.plot(1.5) <!-- 77 -->\n",
+        "lang", "n_chars", "doc_id", (F.col("doc_id") % 9 + 1), "doc_id",
+    )
+    return d.select("doc_id", "lang", text.alias("text"))
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimtrace.text.frames import analysed_documents
+
+    return analysed_documents(_papers(spark, sf_dir))
+
+
+def _rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    from claimtrace.text.frames import rows
+
+    return rows(_analysis(spark, sf_dir), part, "doc_id")
+
+
+@query("SELECT doc_id, 'python' AS info, CAST(length('x = ' || doc_id) + 1 AS INTEGER) AS n_body FROM documents")
+def b4_fences(spark, sf_dir):
+    return _rows(spark, sf_dir, "fences").select("doc_id", "info", (F.col("body_end") - F.col("body_start")).alias("n_body"))
+
+
+@query("""SELECT doc_id, 'results' AS ns, 'n_chars' AS key, TRUE AS well_formed, 2 AS line FROM documents
+          UNION ALL SELECT doc_id, '', '', FALSE, 2 FROM documents""")
+def b7_bindings(spark, sf_dir):
+    return _rows(spark, sf_dir, "bindings").select("doc_id", "ns", "key", "well_formed", "line")
+
+
+@query("SELECT doc_id, 1 AS level, lang AS title, lang AS chain FROM documents UNION ALL SELECT doc_id, 2, 'Methods', lang || ' > Methods' FROM documents")
+def b12_headings(spark, sf_dir):
+    return _rows(spark, sf_dir, "headings").select("doc_id", "level", "title", F.array_join("chain", " > ").alias("chain"))
+
+
+@query("SELECT doc_id, 'doc' || doc_id AS citekey, FALSE AS narrative FROM documents")
+def b16_citations(spark, sf_dir):
+    return _rows(spark, sf_dir, "citations").select("doc_id", "citekey", "narrative")
+
+
+@query("""SELECT doc_id, CAST(n_chars AS VARCHAR) AS atom, 'unclassified' AS kind, '' AS rule, lang AS chain FROM documents
+          UNION ALL SELECT doc_id, CAST(doc_id % 9 + 1 AS VARCHAR), 'structural', 'cross-reference', lang || ' > Methods' FROM documents
+          UNION ALL SELECT doc_id, 'plt.plot(1.5', 'unclassified', '', lang || ' > Methods' FROM documents""")
+def c8_classified_atoms(spark, sf_dir):
+    """Atoms of the masked text with verdict, rule, and the chain of headings above them."""
+    return _rows(spark, sf_dir, "atoms").select("doc_id", "atom", "kind", "rule", F.array_join("chain", " > ").alias("chain"))
+
+
+@query("SELECT kind, rule, count(*) AS n FROM (SELECT unnest(['unclassified', 'structural', 'unclassified']) AS kind, unnest(['', 'cross-reference', '']) AS rule FROM documents) x GROUP BY kind, rule")
+def e2_exemptions(spark, sf_dir):
+    return _rows(spark, sf_dir, "atoms").groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'G2' AS gate, code, severity, count(*) AS n FROM (SELECT unnest(['unclassified-number', 'unclassified-number', 'malformed-placeholder', 'unresolved-binding']) AS code, 'fail' AS severity FROM documents) x
+          GROUP BY code, severity UNION ALL SELECT 'G2', 'unquoted-result', 'fail', 1""")
+def g2_numbers_gate(spark, sf_dir):
+    """The numbers gate over all papers, against a namespace in which their binding is missing and another value is unused."""
+    from claimtrace.plans import gates
+    from claimtrace.schemas import VALUES
+
+    value = spark.createDataFrame([("results.other", "results", "other", "results", "1", 1.0, "BIGINT", "1", None, None, True, False, None, None, None, None, "a.json")], VALUES)
+    analysis = _analysis(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    return gates.numbers(analysis, value).groupBy("gate", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, 'x' AS names, CAST(doc_id AS VARCHAR) AS number, FALSE AS in_string FROM documents")
+def b17_code_numbers(spark, sf_dir):
+    """Numbers in fenced code, with the names that they are given to."""
+    from claimtrace.text.analyze import code_numbers
+
+    @F.pandas_udf("array<struct<number:string,line:int,in_string:boolean,names:string>>")
+    def lexed(sources):
+        import pandas as pd
+
+        keys = ("number", "line", "in_string", "names")
+        return pd.Series([[dict(zip(keys, x, strict=True)) for x in code_numbers(s, "python")] for s in sources], dtype=object)
+
+    blocks = _analysis(spark, sf_dir).select("doc_id", "text", F.inline("parts.fences")).filter("info = 'python'")
+    source = F.substring(F.col("text"), F.col("body_start") + 1, F.col("body_end") - F.col("body_start"))
+    return blocks.select("doc_id", F.inline(lexed(source))).select("doc_id", "names", "number", "in_string")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'defect' WHEN s_nationkey < 10 THEN 'traced' WHEN s_nationkey < 20 THEN 'attested' ELSE 'traced' END AS tier FROM supplier""")
+def i28_tier(spark, sf_dir):
+    n = F.col("s_nationkey")
+    tier = X.tier(F.when(n < 10, "results").otherwise("lit"), F.col("s_acctbal") >= 0, F.lit(False), n < 20)
+    return t(spark, sf_dir, "supplier").select("s_suppkey", tier.alias("tier"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity || ' (' || l_returnflag || ')' AS cell FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS l_quantity, l_returnflag FROM lineitem) x")
+def i8_rebuilt(spark, sf_dir):
+    """Cells rebuilt from their template and parts."""
+    parts = F.array(F.col("l_quantity").cast("bigint").cast("string"), "l_returnflag")
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.rebuilt(F.lit("{} ({})"), parts).alias("cell"))
