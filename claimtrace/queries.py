@@ -458,3 +458,33 @@ def i8_rebuilt(spark, sf_dir):
     """Cells rebuilt from their template and parts."""
     parts = F.array(F.col("l_quantity").cast("bigint").cast("string"), "l_returnflag")
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.rebuilt(F.lit("{} ({})"), parts).alias("cell"))
+
+
+@query()
+def d33_suggestions(spark, sf_dir):
+    """Brands that aren't published, with the published ones most like them; similarity of strings has no SQL form."""
+    from claimtrace.operators.suggest import suggestions
+
+    part = t(spark, sf_dir, "part").select(F.col("p_brand").alias("ref"))
+    known = part.filter("ref < 'Brand#3'")
+    return suggestions(J.missing(part, known, "ref"), known, "ref")
+
+
+@query("SELECT s_nationkey, sha256(string_agg(s_name || ':' || CAST(s_suppkey AS VARCHAR), '|' ORDER BY s_name, s_suppkey)) AS digest FROM supplier GROUP BY s_nationkey")
+def e9_ordered_digest(spark, sf_dir):
+    """The hash of a group's files in an order that is made explicit."""
+    ordered = F.array_sort(F.collect_list(F.struct("s_name", "s_suppkey")))
+    text = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["s_name"], x["s_suppkey"])), "|")
+    return t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sha2(text, 256).alias("digest"))
+
+
+@query("SELECT o_orderkey, CASE WHEN regexp_matches(o_orderpriority, '^[+-]?[0-9][0-9, ]*(\\.[0-9]+)?%?$') THEN TRUE ELSE FALSE END AS numeric_text, lower(regexp_replace(o_orderpriority, '[^0-9A-Za-z]', '', 'g')) AS slug FROM orders")
+def i5_slugs(spark, sf_dir):
+    p = F.col("o_orderpriority")
+    return t(spark, sf_dir, "orders").select("o_orderkey", X.is_numeric_text(p).alias("numeric_text"), X.level_slug(p).alias("slug"))
+
+
+@query("SELECT 'any' AS scope, sum(CASE WHEN len(string_split_regex(trim(text), '\\s+')) < 8 THEN 1 ELSE 0 END) AS thin FROM conversations")
+def i16_thin_statements(spark, sf_dir):
+    rows = t(spark, sf_dir, "conversations").agg(F.count_if(X.is_thin(F.col("text"))).alias("thin"))
+    return rows.select(F.lit("any").alias("scope"), "thin")

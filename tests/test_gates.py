@@ -119,3 +119,11 @@ def test_office_and_drawings(spark, tmp_path):
 def test_hooks(spark):
     rows = spark.createDataFrame([("results/a.json",), ("notes.md",), ("reporting/x.recipe.yaml",)], "path string")
     assert [r["decision"] for r in hooks.guarded_writes(rows).collect()] == ["deny", "allow", "allow"]
+
+
+def test_suggestions(spark):
+    from claimtrace.operators.suggest import suggestions
+
+    known = spark.createDataFrame([("results.ror.point",), ("results.n",), ("lit.rate",)], "ref string")
+    got = suggestions(spark.createDataFrame([("results.ror.pont",), ("zzz",)], "ref string"), known, "ref").collect()
+    assert {r["ref"]: r["candidates"] for r in got} == {"results.ror.pont": ["results.ror.point"], "zzz": []}
