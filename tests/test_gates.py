@@ -126,4 +126,4 @@ def test_suggestions(spark):
 
     known = spark.createDataFrame([("results.ror.point",), ("results.n",), ("lit.rate",)], "ref string")
     got = suggestions(spark.createDataFrame([("results.ror.pont",), ("zzz",)], "ref string"), known, "ref").collect()
-    assert {r["ref"]: r["candidates"] for r in got} == {"results.ror.pont": ["results.ror.point"], "zzz": []}
+    assert {r["ref"]: r["candidates"] for r in got} == {"results.ror.pont": ["results.ror.point", "results.n"], "zzz": []}
