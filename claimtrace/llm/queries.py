@@ -19,7 +19,7 @@ TARGET_ROWS = 20_000
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED)
+    drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED, keep=["doc_id"])
     return drawn.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "exact", "pieces")
 
 
