@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` read from files, dealt out over all cores where its scan has fewer tasks with rows than these.
+
+    A small table may be one file of one row group and so one task. Row groups are counted only where files are fewer
+    than cores; a table of many files or row groups, as any large one is, stays as it is and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df._jdf.inputFiles()) < cores and df.groupBy(F.spark_partition_id()).count().count() < cores
+    return df.repartition(cores) if few else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext

@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimtrace.llm import host_quality, importance, media, mixing, pieces, secrets, shard, simhash, token_count, toxicity
-from claimtrace.llm.common import table, whole
+from claimtrace.llm.common import spread, table, whole
 
 SEED = 20240229
 #: Of the documents labelled as good, so many at most stand for the target of the quality classifier.
 TARGET_ROWS = 20_000
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for operators whose work on each text is long enough that all cores should share a small table."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     drawn = pieces.sampled_segmentations(docs, path, k=4, seed=SEED, keep=["doc_id"])
     return drawn.select("doc_id", "sample", "n_pieces", "log_prob", "log_inclusion", "exact", "pieces")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, training = table(spark, sf_dir, "documents"), toxicity.Training()
+    docs, training = _documents(spark, sf_dir), toxicity.Training()
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), training)
     rows = toxicity.scored(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", toxicity.held_out(training.folds).alias("held_out"), "score", "predicted")
@@ -39,17 +44,17 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(table(spark, sf_dir, "documents"), weights=[1, 2, 3], most=3)
+    mix = mixing.mixed(_documents(spark, sf_dir), weights=[1, 2, 3], most=3)
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = simhash.with_components(table(spark, sf_dir, "documents"), width=4, distance=4)
+    grouped = simhash.with_components(_documents(spark, sf_dir), width=4, distance=4)
     return grouped.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
 
 
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
     first = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("_good", F.lit(True))
     marked = docs.join(F.broadcast(first), "doc_id", "left")
@@ -57,11 +62,11 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scanned(table(spark, sf_dir, "documents"))
+    return secrets.scanned(_documents(spark, sf_dir))
 
 
 def op8_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(whole()).cast("long").alias("n_bytes"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.octet_length(whole()).cast("long").alias("n_bytes"))
     films = media.stored_and_read(docs)
     return films.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
@@ -71,13 +76,13 @@ def op8_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = host_quality.judged(table(spark, sf_dir, "documents"))
+    rows = host_quality.judged(_documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    counted = token_count.with_token_counts(table(spark, sf_dir, "documents"), path, limit=512)
+    counted = token_count.with_token_counts(_documents(spark, sf_dir), path, limit=512)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
