@@ -488,3 +488,82 @@ def i5_slugs(spark, sf_dir):
 def i16_thin_statements(spark, sf_dir):
     rows = t(spark, sf_dir, "conversations").agg(F.count_if(X.is_thin(F.col("text"))).alias("thin"))
     return rows.select(F.lit("any").alias("scope"), "thin")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, 'd' || doc_id || '.md' AS path FROM documents),
+          s AS (SELECT doc_id, lang, 'd' || doc_id || substr(sha256(path), 1, 6) AS slug FROM d)
+          SELECT doc_id, 'ct-p-' || slug || '-0' AS id, 'First ' || doc_id || '.' AS source, 0 AS start FROM s
+          UNION ALL SELECT doc_id, 'ct-p-' || slug || '-6', 'Last ' || lang || '.', CAST(length('First ' || doc_id || '.') + length(lang) + 20 AS INTEGER) FROM s""")
+def b19_paragraphs(spark, sf_dir):
+    """Identifiers of paragraphs; headings and lone placeholders count without having one."""
+    from claimtrace.plans.roundtrip import paragraph_rows
+
+    d = t(spark, sf_dir, "documents")
+    text = F.format_string("First %d.\n\n# %s\n\n{{table.t1}}\n\nLast %s.\n", "doc_id", "lang", "lang")
+    papers = d.select(F.format_string("d%d.md", "doc_id").alias("path"), text.alias("text"))
+    return paragraph_rows(papers).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "id", "source", "start")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'merged' WHEN 2 THEN 'refused' ELSE 'absent' END AS state,
+          CASE doc_id % 4 WHEN 1 THEN 'In ' || lang || ' we now saw {{results.n}} texts [@a].' END AS rebuilt FROM documents""")
+def d36_round_trip(spark, sf_dir):
+    """New wording goes into the source with the source's bindings; reworded stretches lose their emphasis, and a changed
+    citation is refused."""
+    from claimtrace.plans.roundtrip import merged
+
+    d = t(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    known = d.select("doc_id", "id", F.format_string("**In** %s we saw {{results.n}} texts [@a].", "lang").alias("source"))
+    built = d.select("id", F.format_string("In %s we saw %d texts (A 1).", "lang", "n_chars").alias("text"))
+    words = F.format_string("In %s we now saw %d texts (A 1).", "lang", "n_chars")
+    wrong = F.format_string("In %s we saw %d texts (B 1).", "lang", "n_chars")
+    kind = F.col("doc_id") % 4
+    same = F.format_string("In %s we saw %d texts (A 1).", "lang", "n_chars")
+    back = d.filter(kind != 3).select("id", F.when(kind == 1, words).when(kind == 2, wrong).otherwise(same).alias("text"))
+    return merged(known, built, back).select("doc_id", "state", "rebuilt")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc, CAST(o_orderkey AS VARCHAR) || '-1' AS id, 0 AS was, 3 AS now FROM orders WHERE o_orderkey % 2 = 0""")
+def f14_moves(spark, sf_dir):
+    """Paragraphs outside the backbone of both orders: of four the first, put last."""
+    from claimtrace.plans.roundtrip import moves
+
+    d = t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc"), (F.col("o_orderkey") % 2 == 0).alias("turned"), F.explode(F.array(*map(F.lit, range(1, 5)))).alias("n"))
+    d = d.withColumn("id", F.concat_ws("-", "doc", "n"))
+    after = F.when(F.col("turned") & (F.col("n") == 1), 9).otherwise(F.col("n"))
+    return moves(d.select("doc", "id", F.col("n").alias("position")), d.select("doc", "id", after.alias("position")))
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS path, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INTEGER) AS e,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey) AS num FROM lineitem),
+          r AS (SELECT DISTINCT path, CAST(0 AS BIGINT) AS num, 0 AS a, 0 AS e, 0 AS upto, FALSE AS kept FROM s
+              UNION ALL SELECT s.path, s.num, s.a, s.e, CASE WHEN s.a >= r.upto THEN s.e ELSE r.upto END, s.a >= r.upto FROM r JOIN s ON s.path = r.path AND s.num = r.num + 1)
+          SELECT path, a AS start, e AS stop, row_number() OVER (ORDER BY path, a) AS anchor FROM r WHERE kept""")
+def f17_marks(spark, sf_dir):
+    """Spans of each file, of which the first of those that overlap stays, numbered over all files."""
+    from claimtrace.plans.roundtrip import disjoint, numbered
+
+    start = (F.col("l_linenumber") * 10).cast("int")
+    spans = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
+    return numbered(disjoint(spans)).select("path", "start", F.col("end").alias("stop"), "anchor")
+
+
+@query("""SELECT doc_id, 'hardcoded' AS verdict, CAST(doc_id AS VARCHAR) AS atom, 2 AS line FROM documents UNION ALL SELECT doc_id, 'layout', CAST(n_chars AS VARCHAR), 3 FROM documents
+          UNION ALL SELECT doc_id, 'text', '3.84', 4 FROM documents UNION ALL SELECT doc_id, 'ok', '1', 5 FROM documents""")
+def c9_script_numbers(spark, sf_dir):
+    """Numbers of figure scripts by what they are there for."""
+    from claimtrace.plans.scripts import numbers
+
+    code = F.format_string('# 77\nx = DataFrame([%d])\nplot(width=%d)\nax.set_title("Ratio 3.84 overall")\nsavefig("fig1.png")\n', "doc_id", "n_chars")
+    found = numbers(t(spark, sf_dir, "documents").select(F.format_string("%d.py", "doc_id").alias("path"), code.alias("text")))
+    verdict = F.when(F.col("verdict") == "data", "hardcoded").otherwise(F.col("verdict"))
+    return found.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), verdict.alias("verdict"), "atom", "line")
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(?:load_results|read_results)\b') OR (regexp_matches(text, '[''"`]results[''"`]|\bresults[/\\]')
+           AND regexp_matches(text, '(?i)\.json\b|from_?JSON|read_json|jsonlite')) AS reads FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' results/a.json'
+           WHEN 1 THEN ' load_results()' ELSE ' results/' END AS text FROM documents) d""")
+def b23_reads_results(spark, sf_dir):
+    from claimtrace.plans.scripts import reads_results
+
+    more = F.when(F.col("doc_id") % 3 == 0, " results/a.json").when(F.col("doc_id") % 3 == 1, " load_results()").otherwise(" results/")
+    return t(spark, sf_dir, "documents").select("doc_id", reads_results(F.concat(F.coalesce("text", F.lit("")), more)).alias("reads"))
