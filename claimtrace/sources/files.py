@@ -160,6 +160,28 @@ def docx_tables(data: bytes) -> list[list[list[str]]]:
     return [[r for r in t if any(r)] for t in tables]
 
 
+def docx_paragraphs(data: bytes, prefix: str = "ct-p-") -> list[tuple[str, str]]:
+    """Identifier and text of each paragraph with a bookmark of that prefix, in the order of the document."""
+    out = []
+    for p in safe_xml(zip_part(data, "word/document.xml") or b"<x/>").iter(W + "p"):
+        names = [n for b in p.iter(W + "bookmarkStart") if (n := b.get(W + "name", "")).startswith(prefix)]
+        if names:
+            out.append((names[0], " ".join("".join(t.text or "" for t in p.iter(W + "t")).split())))
+    return out
+
+
+def docx_comments(data: bytes, prefix: str = "ct-p-") -> list[tuple[str, str, str, str]]:
+    """Author, day, text and paragraph of each comment that says something."""
+    raw, where = zip_part(data, "word/comments.xml"), {}
+    if raw is None:
+        return []
+    for p in safe_xml(zip_part(data, "word/document.xml") or b"<x/>").iter(W + "p"):
+        for name in [n for b in p.iter(W + "bookmarkStart") if (n := b.get(W + "name", "")).startswith(prefix)][:1]:
+            where |= {c.get(W + "id"): name for c in p.iter(W + "commentRangeStart")}
+    said = ((c, " ".join(" ".join(t.text or "" for t in c.iter(W + "t")).split())) for c in safe_xml(raw).iter(W + "comment"))
+    return [(c.get(W + "author") or "an unnamed reviewer", c.get(W + "date", "")[:10], text, where.get(c.get(W + "id"), "")) for c, text in said if text]
+
+
 def svg_text(data: bytes) -> str:
     """The text layer of a drawing, without titles, descriptions and metadata."""
     out = []
