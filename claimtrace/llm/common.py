@@ -60,6 +60,16 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns beside those of ``df``: ``names``, lengthened where the table has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The row's id; for a missing one, an id above all real ones made from the text."""
     made = F.lit(SURROGATE) + F.pmod(F.xxhash64(whole(text)), F.lit(SURROGATE >> 1))

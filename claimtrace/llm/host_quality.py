@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut, give_back, whole
+from claimtrace.llm.common import cut, give_back, unused, whole
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -122,6 +122,7 @@ def kept_documents(docs: DataFrame, limits: Limits | None = None, text: str = "t
     """
     limits = limits or Limits()
     _, bad = _judged(docs, limits, text, host)
-    rows = docs.withColumn("_m", measures(whole(text)))
-    short = (F.col("_m.n_words") < limits.words) | (100 * F.col("_m.n_repeat_words") > limits.repeat * F.col("_m.n_words"))
-    return rows.filter(~short).join(bad, F.col(host).eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    m, name = unused(docs, "_m", "_bad")
+    rows, measured = docs.withColumn(m, measures(whole(text))), F.col(m)
+    short = (measured["n_words"] < limits.words) | (100 * measured["n_repeat_words"] > limits.repeat * measured["n_words"])
+    return rows.filter(~short).join(bad.withColumnRenamed("_bad", name), F.col(host).eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)

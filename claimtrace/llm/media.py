@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import whole
+from claimtrace.llm.common import unused, whole
 
 WIDTH, HEIGHT, FPS = 32, 24, 25
 BLOCKS, HELD = WIDTH * HEIGHT // 64, 48
@@ -378,7 +378,7 @@ def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, texts, at = batch.select(rest), batch.column("_text"), 0
+            kept, texts, at = batch.columns[: len(rest)], batch.column(len(rest)), 0
             while at < batch.num_rows:
                 rows, size, start = [], 0, at
                 while at < batch.num_rows and (not rows or size < CHARS_AT_ONCE):
@@ -386,10 +386,10 @@ def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
                     rows.append(row(body))
                     size, at = size + len(body), at + 1
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*kept.slice(start, at - start).columns, *made], names=[*rest, *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, at - start) for c in kept), *made], names=[*rest, *names])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), READ])
-    return docs.select(*rest, whole(text).alias("_text")).mapInArrow(each, fields)
+    return docs.select(*rest, whole(text).alias(*unused(docs, "_text"))).mapInArrow(each, fields)
 
 
 def clips(media: Column) -> Column:

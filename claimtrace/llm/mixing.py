@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import WORD, cut, whole
+from claimtrace.llm.common import WORD, cut, unused, whole
 
 #: Buckets per level, as bits; three levels use the hash's upper 36 bits.
 LEVEL_BITS = 12
@@ -124,6 +124,9 @@ def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text"
 def mixture(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mixed`` takes it."""
     _, plan = _planned(docs, weights, most, text)
-    rows = docs.withColumn("_place", place(F.col("doc_id"), whole(text))).alias("d")
-    joined = rows.join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).withColumn("_times", _copies())
-    return joined.filter("_times > 0").select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_time")).select(*docs.columns)
+    at, own, times, one = unused(docs, "_place", "_source", "_times", "_time")
+    rows = docs.withColumn(at, place(F.col("doc_id"), whole(text)))
+    # the plan's columns may be named like the table's, so it comes as one
+    joined = rows.join(plan.select(F.col("source").alias(own), F.struct("_copies", "threshold").alias(times)), F.col("source").eqNullSafe(F.col(own)))
+    many = F.col(times)["_copies"] + (F.col(at) < F.coalesce(F.col(times)["threshold"], F.lit(0))).cast("long")
+    return joined.filter(many > 0).withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), many))).select(*docs.columns)

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import give_back, mix64, unit, whole
+from claimtrace.llm.common import give_back, mix64, unit, unused, whole
 
 #: Units (a word with the spaces before it) whose lattices a Python worker keeps; and edges of theirs.
 KEPT, KEPT_EDGES = 110_000, 2_200_000
@@ -532,7 +532,7 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta:
     names = [x.split()[0] for x in RESULTS.split(", ")]
     rest = [c for c in (docs.columns if keep is None else keep) if c not in names]
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole(text))
-    rows = docs.select(*rest, whole(text).alias("_text"), key.alias("_key"))
+    rows = docs.select(*rest, *(c.alias(n) for c, n in zip((whole(text), key), unused(docs, "_text", "_key"), strict=True)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lattices(path, theta)

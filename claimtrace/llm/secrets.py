@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut, row_id, whole
+from claimtrace.llm.common import cut, row_id, unused, whole
 
 #: So many strings or clauses at most are followed through a regex; beyond, a query is cut short and stays a superset.
 MOST = 64
@@ -168,15 +168,16 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     An input column named ``secret_spans`` is replaced; an empty table gives an empty one.
     """
     docs = docs.drop("secret_spans")
-    found = cut(candidates(postings(docs, rules, text), rules).select(F.col("uid").alias("_uid"), F.col("rules").alias("_rules")))
+    uid, which = unused(docs, "_uid", "_rules")
+    found = cut(candidates(postings(docs, rules, text), rules).select(F.col("uid").alias(uid), F.col("rules").alias(which)))
     found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    marked = docs.withColumn("_uid", row_id(text=text)).join(found, "_uid", "left")
+    marked = docs.withColumn(uid, row_id(text=text)).join(found, uid, "left")
     body, each = whole(text), []
     for k, r in enumerate(rules):
-        searched = F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0 if trigram_query(r) else F.lit(True)
+        searched = F.col(which).bitwiseAND(F.lit(1 << k)) != 0 if trigram_query(r) else F.lit(True)
         each.append(F.when(searched & body.rlike(r.java), _spans(r, k, body)))
     every = F.flatten(F.array_compact(F.array(*each)))
-    return marked.withColumn("secret_spans", F.array_sort(every)).drop("_uid", "_rules")
+    return marked.withColumn("secret_spans", F.array_sort(every)).drop(uid, which)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:

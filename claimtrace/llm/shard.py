@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import mix64
+from claimtrace.llm.common import mix64, unused
 
 ROUNDS = 4
 #: Rows are numbered within so many buckets, by hash. Their counts, one row each, are all that meets in one task.
@@ -72,8 +72,10 @@ def with_row_numbers(df: DataFrame, out: str = "row_number") -> tuple[DataFrame,
     into files. Equal rows are counted before anything is shuffled and written out again by many tasks, so a row
     that is repeated without bound does not land in one. Columns must be comparable (no maps).
     """
-    names = [c for c in df.columns if c != out]
-    rows = df.select(*names, F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int").alias("_bucket"))
+    own = [c for c in df.columns if c != out]
+    names = [f"c{i}" for i in range(len(own))]  # no working column is named so
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)))
+    rows = rows.select(*names, F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int").alias("_bucket"))
     distinct = rows.groupBy("_bucket", *names).agg(F.count(F.lit(1)).alias("_copies"))
     sizes = rows.groupBy("_bucket").count().collect()  # BUCKETS rows at most
     total, starts = 0, []
@@ -90,7 +92,8 @@ def with_row_numbers(df: DataFrame, out: str = "row_number") -> tuple[DataFrame,
     chunks = again.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(CHUNK).cast("long")))).repartition(*names, "_from")
     last = F.least(F.col("_from") + CHUNK, F.col("_copies")) - 1
     copies = chunks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), last))).select(*names, (F.col(out) + F.col("_copy")).alias(out))
-    return once.unionByName(copies), total
+    every = once.unionByName(copies)
+    return every.select(*(F.col(n).alias(c) for c, n in zip(own, names, strict=True)), out), total
 
 
 def shuffled_shards(df: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -102,5 +105,6 @@ def shuffled_shards(df: DataFrame, shards: int, seed: int) -> DataFrame:
     """
     df = df.drop("row_number", "shard", "slot")
     numbered, n = with_row_numbers(df)
-    placed = numbered.withColumn("_place", permuted(F.col("row_number"), n, seed))
-    return placed.withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", F.expr(f"_place div {shards}")).drop("_place")
+    (at,) = unused(df, "_place")
+    placed = numbered.withColumn(at, permuted(F.col("row_number"), n, seed))
+    return placed.withColumn("shard", (F.col(at) % shards).cast("int")).withColumn("slot", F.expr(f"{at} div {shards}")).drop(at)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import SURROGATE, cut, give_back, row_id, whole
+from claimtrace.llm.common import SURROGATE, cut, give_back, row_id, unused, whole
 from claimtrace.llm.graph import components
 
 BITS = 64
@@ -152,10 +152,11 @@ def representatives(docs: DataFrame, width: int = 4, distance: int = 4, text: st
 
     Of several texts under that id the one with the smallest hash stays, and of repeated rows one.
     """
+    uid, hashed, many = unused(docs, "_uid", "_hash", "_many")
     rows = with_components(docs, width, distance, text).select("uid", "_text", "_first")
-    stay = cut(rows.filter("uid = _first").groupBy(F.col("uid").alias("_uid")).agg(F.min("_text").alias("_hash"), F.count(F.lit(1)).alias("_many")))
-    chosen = docs.withColumn("_uid", row_id(text=text)).withColumn("_hash", F.xxhash64(whole(text))).join(stay.drop("_many"), ["_uid", "_hash"], "left_semi")
-    if stay.filter("_many > 1").isEmpty():
+    stay = cut(rows.filter("uid = _first").groupBy(F.col("uid").alias(uid)).agg(F.min("_text").alias(hashed), F.count(F.lit(1)).alias(many)))
+    chosen = docs.withColumn(uid, row_id(text=text)).withColumn(hashed, F.xxhash64(whole(text))).join(stay.drop(many), [uid, hashed], "left_semi")
+    if stay.filter(F.col(many) > 1).isEmpty():
         return chosen.select(*docs.columns)
     # partial aggregates keep one row per task before anything moves, however often a row is repeated
-    return chosen.dropDuplicates(["_uid", "_hash"]).select(*docs.columns)
+    return chosen.dropDuplicates([uid, hashed]).select(*docs.columns)

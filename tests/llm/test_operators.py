@@ -64,7 +64,7 @@ def test_touchy_and_empty_tables(touchy, name):
         assert n == len(TOUCHY)
     assert CALLS[name](touchy.limit(0)).count() == 0
     more = touchy
-    for c in ("shard", "slot", "copies", "fp", "component", "secret_spans", "kept", "n_tokens", "sample", "media", "key", "score", "size", "target", "n_words"):
+    for c in ("shard", "slot", "copies", "fp", "component", "secret_spans", "kept", "n_tokens", "sample", "media", "key", "score", "size", "target", "n_words", "_text", "_key", "_uid", "_hash", "_many", "_m", "_bad", "_place", "_source", "_times", "_time", "_rules", "_bucket", "_copies", "_start", "_before"):
         more = more.withColumn(c, F.lit("clash"))
     assert CALLS[name](more).count() == n
 
