@@ -26,11 +26,9 @@ SEED = 42
 BLOCK = 1 << 14
 
 
-def fingerprint_of(text: str, width: int) -> int:
-    """The SimHash of a text's word shingles, unsigned; 0 for a text without words."""
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in blocks; a text of fewer words is one shingle."""
     words = text.encode("utf-8").lower().split()  # of bytes, both heed ASCII only
-    if not words:
-        return 0
     joined = b" ".join(words)
     starts, at = [], 0
     for w in words:
@@ -38,11 +36,20 @@ def fingerprint_of(text: str, width: int) -> int:
         at += len(w) + 1
     n = max(1, len(words) - width + 1)
     ends = [s - 1 for s in starts[width:]][: n - 1] + [len(joined)]
+    starts = starts or [0]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=False)], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=False)], dtype="<u8")
+
+
+def fingerprint_of(text: str, width: int) -> int:
+    """The SimHash of a text's word shingles, unsigned; 0 for a text without words."""
+    if not text.encode("utf-8").split():
+        return 0
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in shingle_hashes(text, width):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
