@@ -150,20 +150,25 @@ def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: st
     joined = components(cut(between))
     parts = parts.join(joined, parts["part"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "part").alias("part"))
     least = parts.groupBy("part").agg(F.min("least").alias("component"))
-    of = parts.join(least, "part").select("fp", F.when(F.col("component") < SURROGATE, F.col("component")).alias("component"), F.col("component").alias("_first"))
+    of = parts.join(least, "part").select("fp", F.col("part").alias("_part"), F.when(F.col("component") < SURROGATE, F.col("component")).alias("component"), F.col("component").alias("_first"))
     return rows.join(of, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
 def representatives(docs: DataFrame, width: int = 4, distance: int = 4, text: str = "text") -> DataFrame:
     """One document of each component, with the columns of ``docs``: the one with the smallest id.
 
-    Of several texts under that id the one with the smallest hash stays, and of repeated rows one.
+    Of several texts under that id in the component the one with the smallest hash stays, and of repeated rows one. An
+    id with texts in several components stands for each of them.
     """
-    uid, hashed, many = unused(docs, "_uid", "_hash", "_many")
-    rows = with_components(docs, width, distance, text).select("uid", "_text", "_first")
-    stay = cut(rows.filter("uid = _first").groupBy(F.col("uid").alias(uid)).agg(F.min("_text").alias(hashed), F.count(F.lit(1)).alias(many)))
-    chosen = docs.withColumn(uid, row_id(text=text)).withColumn(hashed, F.xxhash64(whole(text))).join(stay.drop(many), [uid, hashed], "left_semi")
-    if stay.filter(F.col(many) > 1).isEmpty():
-        return chosen.select(*docs.columns)
+    uid, hashed = unused(docs, "_uid", "_hash")
+    rows = with_components(docs, width, distance, text).groupBy("_part").agg(F.min(F.struct("uid", "_text")).alias("first"))
+    return chosen(docs, cut(rows.select(F.col("first.uid").alias(uid), F.col("first._text").alias(hashed))), uid, hashed, text)
+
+
+def chosen(docs: DataFrame, stay: DataFrame, uid: str, hashed: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are in ``stay``, repeated ones once."""
+    rows = docs.withColumn(uid, row_id(text=text)).withColumn(hashed, F.xxhash64(whole(text))).join(stay, [uid, hashed], "left_semi")
+    if rows.groupBy(uid, hashed).count().filter("count > 1").isEmpty():
+        return rows.select(*docs.columns)
     # partial aggregates keep one row per task before anything moves, however often a row is repeated
-    return chosen.dropDuplicates([uid, hashed]).select(*docs.columns)
+    return rows.dropDuplicates([uid, hashed]).select(*docs.columns)
