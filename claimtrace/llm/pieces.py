@@ -521,39 +521,48 @@ def segmented(a: Lattices, texts: list[str], seeds: list[int], k: int) -> tuple[
 RESULTS = "sample int, n_pieces int, pieces binary, log_prob double, log_inclusion double, exact boolean"
 
 
-def sampled_segmentations(docs: DataFrame, path: str, k: int, seed: int, theta: float = 1.0, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def sampled_segmentations(docs: DataFrame, path: str, k: int | Column, seed: int, theta: float = 1.0, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per document and drawn segmentation: ``docs``, or its columns in ``keep``, with the columns of RESULTS.
 
     ``sample`` counts from 1 in the order in which they were drawn, ``pieces`` are ids as little-endian words of
     ``id_bytes`` bytes, the form in which training reads them, and ``exact`` says that decoding them gave
     the text back. Draws depend on ``seed`` and the row's id and text only, so equal rows draw equally. Null texts are segmented like empty ones: once, into no pieces. A text with fewer segmentations than
-    ``k`` gives fewer rows. Input columns named like a result are replaced; an empty table gives an empty one.
+    ``k`` gives fewer rows; where ``k`` is a column, it gives ``k`` rows all the same, its segmentations in turn. Input columns named like a result are replaced; an empty table gives an empty one.
     """
     names = [x.split()[0] for x in RESULTS.split(", ")]
     rest = [c for c in (docs.columns if keep is None else keep) if c not in names]
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole(text))
-    rows = docs.select(*rest, *(c.alias(n) for c, n in zip((whole(text), key), unused(docs, "_text", "_key"), strict=True)))
+    fixed = isinstance(k, int)
+    each = F.lit(k) if fixed else k
+    rows = docs.select(*rest, *(c.alias(n) for c, n in zip((whole(text), key, each.cast("int")), unused(docs, "_text", "_key", "_k"), strict=True)))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lattices(path, theta)
         for batch in batches:
             # by position, since a table's own columns may have any name
-            bodies, keys = batch.column(len(rest)), batch.column(len(rest) + 1).to_pylist()
+            bodies, keys, ks = batch.column(len(rest)), batch.column(len(rest) + 1).to_pylist(), batch.column(len(rest) + 2).to_pylist()
             kept, at = pa.RecordBatch.from_arrays(batch.columns[: len(rest)], names=rest) if rest else None, 0
             while at < batch.num_rows:
                 texts, size, end = [], 0, at
                 while end < batch.num_rows and (not texts or size < CHARS_AT_ONCE):
                     texts.append(bodies[end].as_py())
                     size, end = size + len(texts[-1]), end + 1
-                a.forget()
-                who, ids, ends, drawn = segmented(a, texts, keys[at:end], k)
-                width = a.vocabulary.id_bytes
-                offsets = (np.concatenate([[0], ends]) * width).astype(np.int64)
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))]).cast(pa.binary())
-                cols = list(zip(*drawn, strict=True))
-                made = [pa.array(cols[0], pa.int32()), pa.array(np.diff(ends, prepend=0), pa.int32()), packed, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())]
-                taken = kept.take(pa.array([at + i for i in who], pa.int64())).columns if rest else []
-                yield pa.RecordBatch.from_arrays([*taken, *made], names=[*rest, *names])
+                for many in sorted(set(ks[at:end])):
+                    these = [i for i in range(end - at) if ks[at + i] == many]
+                    a.forget()
+                    who, ids, ends, drawn = segmented(a, [texts[i] for i in these], [keys[at + i] for i in these], many)
+                    width = a.vocabulary.id_bytes
+                    offsets = (np.concatenate([[0], ends]) * width).astype(np.int64)
+                    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))]).cast(pa.binary())
+                    cols = list(zip(*drawn, strict=True))
+                    made = [pa.array(cols[0], pa.int32()), pa.array(np.diff(ends, prepend=0), pa.int32()), packed, pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())]
+                    taken = kept.take(pa.array([at + these[i] for i in who], pa.int64())).columns if rest else []
+                    out = pa.RecordBatch.from_arrays([*taken, *made], names=[*rest, *names])
+                    if not fixed and len(who) < many * len(these):
+                        own = np.bincount(who, minlength=len(these))
+                        begin = np.cumsum(own) - own
+                        out = out.take(pa.array(np.concatenate([b + np.arange(many) % n for b, n in zip(begin, own, strict=True)]), pa.int64()))
+                    yield out
                 at = end
         a.clear()
         give_back()
