@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimtrace.llm.common import cut
+
 
 def capped(df: DataFrame, keys: list[str], order: list[Column | str], most: int) -> DataFrame:
     """The first ``most`` rows of each key, in total order, as ``rank``."""
@@ -40,3 +42,14 @@ def running_max(df: DataFrame, group: list[str], order: list[str], value: str, o
 
 def first_mention(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(at).alias("first_at"))
+
+
+def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``out`` from 1 over all rows in order: sorted by ranges, with each range's count added up before the next."""
+    placed = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_part", before.alias("_before")))  # a row per range
+    rows = placed.withColumn("_part", part).join(offsets, "_part")
+    return rows.withColumn(out, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_at", "_part", "_before")

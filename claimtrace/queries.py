@@ -361,6 +361,14 @@ def t1_findings_order(spark, sf_dir):
     return first.select("conv_id", "turn", F.row_number().over(Window.orderBy("r", "conv_id", "turn")).cast("long").alias("position_rank"))
 
 
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id, turn) AS position_rank FROM conversations")
+def t1_findings_order_whole(spark, sf_dir):
+    """All by severity, then place."""
+    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", rank.alias("r"))
+    return W.ranked(rows, ["r", "conv_id", "turn"], "position_rank").select("conv_id", "turn", "position_rank")
+
+
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown made from each document's columns, so that what the analyser has to find is known in SQL."""
     d = t(spark, sf_dir, "documents")
