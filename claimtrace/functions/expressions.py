@@ -60,11 +60,21 @@ def states_value(text: Column, value: Column) -> Column:
 
 def normalise_number(text: Column) -> Column:
     """A number's canonical text: no separators, no per cent sign, integers without point, others to 10 decimals."""
-    bare = F.regexp_replace(F.regexp_replace(text, "[,  ]", ""), "%$", "")
+    bare = F.regexp_replace(F.regexp_replace(text, "[,  ]", ""), "%+$", "")
     value = bare.try_cast("double")
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    decimal = F.rtrim(F.regexp_replace(F.format_string("%.10f", F.round(value, 10)), "0+$", ""))
-    return F.when(F.length(bare) > 24, bare).when(value.isNull(), bare).when(whole, value.cast("bigint").cast("string")).otherwise(decimal)
+    plain = (F.length(bare) > 24) | value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(plain, bare).when(whole, value.cast("bigint").cast("string")).otherwise(_shortest(F.when(~plain & ~whole, value)))
+
+
+def _shortest(value: Column) -> Column:
+    """The shortest text that reads back as the double, to 10 decimals; the JVM writes exponents in another form."""
+
+    @F.pandas_udf("string")
+    def text(values):
+        return values.map(lambda x: None if x != x else repr(round(x, 10)).rstrip("0").rstrip("."))
+
+    return text(value)
 
 
 def without_opaque(text: Column) -> Column:

@@ -319,6 +319,14 @@ def i9_normalise_number(spark, sf_dir):
     return rows.filter(F.length("atom") <= 15).withColumn("number", X.normalise_number(F.col("atom")))
 
 
+@query("""SELECT doc_id, atom, CASE WHEN length(atom) > 24 THEN atom WHEN CAST(atom AS DOUBLE) < 1e15 THEN CAST(TRY_CAST(atom AS BIGINT) AS VARCHAR)
+          ELSE rtrim(rtrim(CAST(CAST(atom AS DOUBLE) AS VARCHAR), '0'), '.') END AS number FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS atom FROM documents) a""")
+def i9_normalise_number_whole(spark, sf_dir):
+    """All runs of digits, long ones too."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("atom"))
+    return rows.withColumn("number", X.normalise_number(F.col("atom")))
+
+
 @query(r"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.1f', l_extendedprice) AS display FROM lineitem")
 def i1_derive_display(spark, sf_dir):
     from claimtrace.functions.display import rounded
