@@ -583,3 +583,59 @@ def b23_reads_results(spark, sf_dir):
 
     more = F.when(F.col("doc_id") % 3 == 0, " results/a.json").when(F.col("doc_id") % 3 == 1, " load_results()").otherwise(" results/")
     return t(spark, sf_dir, "documents").select("doc_id", reads_results(F.concat(F.coalesce("text", F.lit("")), more)).alias("reads"))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis of the documents' own texts."""
+    from claimtrace.text.frames import analysed_documents
+
+    return analysed_documents(t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _whole_rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    from claimtrace.text.frames import rows
+
+    return rows(_whole(spark, sf_dir), part, "doc_id")
+
+
+# What the analyser finds in whole texts has no SQL form; tests hold these to brute force.
+
+
+@query()
+def b4_fences_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "fences").select("doc_id", "info", (F.col("body_end") - F.col("body_start")).alias("n_body"))
+
+
+@query()
+def b7_bindings_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "bindings").select("doc_id", "ns", "key", "well_formed", "line")
+
+
+@query()
+def b12_headings_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "headings").select("doc_id", "level", "title", F.array_join("chain", " > ").alias("chain"))
+
+
+@query()
+def b16_citations_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "citations").select("doc_id", "citekey", "narrative")
+
+
+@query()
+def c8_classified_atoms_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "atoms").select("doc_id", "atom", "kind", "rule", F.array_join("chain", " > ").alias("chain"))
+
+
+@query()
+def e2_exemptions_whole(spark, sf_dir):
+    return _whole_rows(spark, sf_dir, "atoms").groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def g2_numbers_gate_whole(spark, sf_dir):
+    """The numbers gate over the documents, against a namespace without values."""
+    from claimtrace.plans import gates
+    from claimtrace.schemas import VALUES
+
+    analysis = _whole(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    return gates.numbers(analysis, spark.createDataFrame([], VALUES)).groupBy("gate", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
