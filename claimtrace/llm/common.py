@@ -13,34 +13,42 @@ from pyspark.sql import functions as F
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Ids that stand in for a missing doc_id start here, above every real id.
-SURROGATE = 1 << 62
+#: The setting in which a caller may ask for input tables to be dealt out over so many partitions (see ``table``).
+DEAL = "spark.claimtrace.deal"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder; the path may be of any file system that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder; the path may be of any file system that Spark reads.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` read from files, dealt out over all cores where its scan has fewer tasks with rows than these.
-
-    A small table may be one file of one row group and so one task. Row groups are counted only where files are fewer
-    than cores; a table of many files or row groups, as any large one is, stays as it is and isn't shuffled.
+    A caller who knows that tables have fewer row groups than the machine has cores can set DEAL, and rows are dealt out
+    first. Unset, as it is by default, tables of any size are read as they lie.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = len(df._jdf.inputFiles()) < cores and df.groupBy(F.spark_partition_id()).count().count() < cores
-    return df.repartition(cores) if few else df
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    deal = spark.conf.get(DEAL, None)
+    return df.repartition(int(deal)) if deal else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, as of tests, gets a temporary one; on a cluster that is an error, since a folder
+    of one machine isn't shared.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimtrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimtrace-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system that Spark writes; one that isn't there is left alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
@@ -70,10 +78,25 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The row's id; for a missing one, an id above all real ones made from the text."""
-    made = F.lit(SURROGATE) + F.pmod(F.xxhash64(whole(text)), F.lit(SURROGATE >> 1))
-    return F.coalesce(F.col(doc_id).cast("long"), made)
+def first_of(doc_id: str = "doc_id", hashed: str = "_text") -> Column:
+    """The smallest row of a group as a struct: by id of any type, rows without an id last; ties by the text's hash."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col(hashed).alias("hash")))
+
+
+#: In joins on a key, keys with more than one in so many of all rows are handled apart; there are fewer than this.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row per ``key`` and in ``n`` how many of ``rows`` have that key.
+
+    ``total`` is the number of ``rows``. Keys with over a thousandth of them number fewer than HOT, so theirs are joined
+    by a broadcast of that proven size and stay where they are; all others are joined by a shuffle of small groups.
+    """
+    hot = one.filter(F.col(n) * HOT > total)
+    common = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(n) * HOT <= total), key)
+    return common.unionByName(rest)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

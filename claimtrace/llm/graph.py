@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut
+from claimtrace.llm.common import cut, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,24 +13,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: each node's larger neighbours are tied to its least neighbour, then
     its smaller ones and itself are. Edges never get more, and rounds grow with the logarithm of a path's length.
-    Edges are in the shared folder after each round, so losing executors costs one round at most.
+    Edges are in the shared folder after each round, so losing executors costs one round at most. Hubs are joined apart.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        return e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
 
     # a is the larger end from here on
     now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last, this = None, state(now)
     while this != last and this[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both, cut(least(both)), "a", "n", 2 * this[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut(large)
-        low = least(large)
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = cut(least(large))
+        small = join_hot(large, low, "a", "n", large.count()).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)
         last, this = this, state(now)

@@ -7,7 +7,7 @@ hosts by a beta prior that is fitted to how much hosts differ; and each host's v
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,14 +26,18 @@ MOST_BROADCAST = 50_000
 
 @dataclass(frozen=True)
 class Limits:
-    """A document fails below ``words``, or above a percentage of words in repeated windows. ``symbols`` per 100
-    characters of words and ``dup_lines`` per 100 lines count as failures of its host only. A host is rejected if its
-    shrunk rate of failing documents is above ``host_rate`` per cent."""
+    """A document fails below ``words``, or above a percentage of words in repeated windows. It has a lesser failure above
+    ``symbols`` per 100 characters of words or ``dup_lines`` per 100 lines. Both count as failures of its host.
+
+    A host is poor if its shrunk rate of failing documents lies above the upper end of the prior, ``deviations`` of its
+    standard deviations over its mean (2.33: the highest hundredth); documents of poor hosts go for lesser failures too.
+    A host whose shrunk rate is above ``host_rate`` per cent is rejected with all its documents."""
 
     words: int = 50
     repeat: int = 50
     symbols: int = 10
     dup_lines: int = 30
+    deviations: float = 2.33
     host_rate: int = 60
 
 
@@ -70,7 +74,7 @@ def measures(text: Column) -> Column:
 
 
 def host_verdicts(measured: DataFrame, limits: Limits) -> DataFrame:
-    """``host, n_docs, n_failed, rate, rejected`` from documents with ``_host`` and ``_failed``.
+    """``host, n_docs, n_failed, rate, poor, rejected`` from documents with ``_host`` and ``_failed``.
 
     The prior's mean is the rate of all documents. Its weight in documents follows from the spread of hosts' rates
     beyond what chance gives; hosts that differ no more than by chance get the heaviest, 1,000,000 documents.
@@ -83,46 +87,51 @@ def host_verdicts(measured: DataFrame, limits: Limits) -> DataFrame:
     chance, unit = m * (1 - m) * (F.col("_h") - 1), m * (1 - m) * (F.col("_n") - F.col("_nn") / F.col("_n") - (F.col("_h") - 1))
     excess = F.when(unit > 0, (spread - chance) / unit).otherwise(0.0)
     weight = F.least(F.lit(1e6), F.greatest(F.lit(1.0), 1 / F.greatest(excess, F.lit(1e-6)) - 1))
-    prior = over.select(m.alias("_mean"), weight.alias("_weight"))
+    prior = over.select(m.alias("_mean"), weight.alias("_weight"))  # one row
     rate = (f + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select(F.col("_host").alias("host"), "n_docs", "n_failed", rate.alias("rate"), (rate * 100 > limits.host_rate).alias("rejected"))
+    upper = F.col("_mean") + F.lit(limits.deviations) * F.sqrt(F.col("_mean") * (1 - F.col("_mean")) / (F.col("_weight") + 1))
+    rejected = rate * 100 > limits.host_rate
+    return hosts.crossJoin(F.broadcast(prior)).select(F.col("_host").alias("host"), "n_docs", "n_failed", rate.alias("rate"), (rejected | (rate > upper)).alias("poor"), rejected.alias("rejected"))
 
 
-def _failures(limits: Limits) -> tuple[Column, Column]:
-    """Whether a measured document fails by itself, and whether it counts as a failure of its host."""
-    short = (F.col("n_words") < limits.words) | (100 * F.col("n_repeat_words") > limits.repeat * F.col("n_words"))
-    soft = (100 * F.col("n_symbols") > limits.symbols * F.col("word_chars")) | (100 * F.col("n_dup_lines") > limits.dup_lines * F.col("n_lines"))
-    return short, short | soft
+def _failures(limits: Limits, m: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+    """Whether a measured document fails by itself, and whether it has a lesser failure."""
+    short = (m("n_words") < limits.words) | (100 * m("n_repeat_words") > limits.repeat * m("n_words"))
+    return short, (100 * m("n_symbols") > limits.symbols * m("word_chars")) | (100 * m("n_dup_lines") > limits.dup_lines * m("n_lines"))
 
 
 def _judged(docs: DataFrame, limits: Limits, text: str, host: str) -> tuple[DataFrame, DataFrame]:
-    """The measured documents without their texts, and the rejected hosts as ``_bad, _out``."""
+    """The measured documents without their texts, and the poor hosts as ``_bad, _out`` (whether rejected)."""
     rows = docs.select("doc_id", F.col(host).alias("_host"), measures(whole(text)).alias("_m")).select("doc_id", "_host", "_m.*")
-    short, failed = _failures(limits)
-    rows = cut(rows.withColumn("base_failed", short).withColumn("_failed", failed))
-    bad = cut(host_verdicts(rows, limits).filter("rejected").select(F.col("host").alias("_bad"), F.lit(True).alias("_out")))
+    short, lesser = _failures(limits)
+    rows = cut(rows.withColumn("base_failed", short).withColumn("_lesser", lesser).withColumn("_failed", F.col("base_failed") | F.col("_lesser")))
+    bad = cut(host_verdicts(rows, limits).filter("poor").select(F.col("host").alias("_bad"), F.col("rejected").alias("_out")))
     return rows, F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
 
 
 def judged(docs: DataFrame, limits: Limits | None = None, text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document: ``doc_id``, the counts, ``base_failed``, ``host_rejected`` and ``kept``.
+    """One row per document: ``doc_id``, the counts, ``base_failed``, ``host_poor``, ``host_rejected`` and ``kept``.
 
     Null texts are measured as empty ones, and so fail. Documents without a host make up a host of their own.
     Repeated rows are judged alike and all count; an empty table gives an empty one; other columns are left out.
     """
     rows, bad = _judged(docs, limits or Limits(), text, host)
-    rows = rows.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left").withColumn("host_rejected", F.coalesce("_out", F.lit(False)))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_bad", "_out", "_failed", "_host")
+    rows = rows.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left")
+    rows = rows.withColumn("host_poor", F.col("_out").isNotNull()).withColumn("host_rejected", F.coalesce("_out", F.lit(False)))
+    goes = F.col("base_failed") | F.col("host_rejected") | (F.col("host_poor") & F.col("_lesser"))
+    return rows.withColumn("kept", ~goes).drop("_bad", "_out", "_failed", "_lesser", "_host")
 
 
 def kept_documents(docs: DataFrame, limits: Limits | None = None, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that ``judged`` keeps, with the columns of ``docs``.
 
-    Texts are measured a second time in place of shuffling them to their verdicts.
+    Texts are measured a second time in place of shuffling them to their verdicts: hosts' verdicts depend on all texts,
+    and the other way would be to store every text once more between the two passes.
     """
     limits = limits or Limits()
     _, bad = _judged(docs, limits, text, host)
-    m, name = unused(docs, "_m", "_bad")
-    rows, measured = docs.withColumn(m, measures(whole(text))), F.col(m)
-    short = (measured["n_words"] < limits.words) | (100 * measured["n_repeat_words"] > limits.repeat * measured["n_words"])
-    return rows.filter(~short).join(bad.withColumnRenamed("_bad", name), F.col(host).eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    m, name, out = unused(docs, "_m", "_bad", "_out")
+    short, lesser = _failures(limits, lambda c: F.col(m)[c])
+    rows = docs.withColumn(m, measures(whole(text))).filter(~short)
+    rows = rows.join(bad.withColumnsRenamed({"_bad": name, "_out": out}), F.col(host).eqNullSafe(F.col(name)), "left")
+    return rows.filter(F.col(out).isNull() | (~F.col(out) & ~lesser)).select(*docs.columns)

@@ -103,12 +103,14 @@ def threshold(keys: DataFrame, name: str, k: int) -> int:
     return prefix
 
 
-def resampled(docs: DataFrame, target: Column, share: float, seed: int, grams: int = 100, smooth: float = 1.0, text: str = "text") -> DataFrame:
+def resampled(docs: DataFrame, target: Column, share: float, seed: int, smooth: float = 1.0, text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_grams, log_weight, key, kept``.
 
-    ``log_weight`` is the mean log ratio of a text's n-grams times ``grams``: texts of any length weigh as if they had
-    that many. ``key`` adds Gumbel noise from a hash of id and text. The ``share`` of documents with the largest keys
-    is kept; documents that tie with the last of them, such as repeated rows, are kept too. Null texts count as empty
+    ``log_weight`` is the logarithm of the importance weight, how much likelier the whole text is under the target's
+    model than under that of all raw texts: the sum of its n-grams' log ratios. ``key`` adds Gumbel noise from a hash of
+    id and text, so the largest keys are a draw without replacement in proportion to the weights. The ``share`` of documents with the largest keys
+    is kept; documents that tie with the last of them, such as repeated rows, are kept too. Each text is read twice, for
+    the counts and for its weight: a table of every document's buckets would be about as large as the texts. Null texts count as empty
     ones, with no n-grams and weight 0. An empty table gives an empty one; other columns are left out.
     """
     ratios = log_ratios(ngram_counts(docs, target, text).toPandas(), smooth)  # BUCKETS rows at most
@@ -123,7 +125,7 @@ def resampled(docs: DataFrame, target: Column, share: float, seed: int, grams: i
                 n, total = 0, 0.0
                 for b in buckets_of(t):
                     n, total = n + len(b), total + float(of[b].sum())
-                rows.append((n, grams * total / n if n else 0.0))
+                rows.append((n, total))
             yield pd.DataFrame(rows, columns=["n_grams", "log_weight"])
 
     @F.pandas_udf("double")

@@ -5,8 +5,9 @@ an index; the frames are ordinary grey baseline JPEG pictures, so the reader her
 
 The unit in which JPEG is lossless is the quantised coefficient. A frame of 32 x 24 pixels has 12 blocks, and each
 holds 48 bytes of payload in its first 48 coefficients after the DC one: all are of size category 8, whose eight
-extra bits are the byte. One-bit codes for that category make all blocks equally long, so frames are packed and
-unpacked as arrays. Shots are found in the decoded pixels.
+extra bits are the byte. One-bit codes for that category make all blocks equally long, so frames are packed as arrays.
+Reading decodes the Huffman codes that a picture's own tables define, symbol by symbol, for many grey pictures with
+equal headers at once. Shots are found in the decoded pixels.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -32,7 +34,7 @@ FILL = 255
 SCAN_BITS = BLOCKS * (1 + 9 * HELD + 2)
 SCAN_BYTES = -(-SCAN_BITS // 8)
 #: Frames are handled in blocks of so many, which bounds memory for long payloads.
-AT_ONCE = 512
+AT_ONCE = 1024
 #: Shots: bins of the luminance histogram, frames that the threshold looks back, its standard deviations and floor.
 BINS, BACK, DEVIATIONS, FLOOR = 16, 12, 3.0, 0.08
 
@@ -96,17 +98,30 @@ def _extend(value: int, size: int) -> int:
     return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
 
 
-def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Width, height, and the first component's blocks and quantisers, of any baseline Huffman JPEG without restarts.
+@dataclass(frozen=True)
+class Header:
+    """What stands before a picture's scan: ``parts`` are component, horizontal and vertical sampling, quantiser table;
+    ``scan`` maps components to their Huffman tables, ``tables`` these to symbols by code length and code."""
 
-    Blocks are rows of 64 quantised coefficients in storage order, by block row and column.
-    """
-    at, quants, tables, parts, scan = 2, {}, {}, None, None
+    width: int
+    height: int
+    parts: tuple[tuple[int, int, int, int], ...]
+    quants: dict[int, np.ndarray]
+    tables: dict[int, dict[tuple[int, int], int]]
+    scan: dict[int, int]
+    end: int
+
+
+def read_header(data: bytes) -> Header:
+    """The header of a baseline Huffman JPEG without restarts."""
+    at, quants, tables, parts, scan, width, height = 2, {}, {}, None, None, 0, 0
     while scan is None:
         if at + 4 > len(data) or data[at] != 0xFF:
             raise MediaError("a broken JPEG header")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
+        if len(body) < size - 2:
+            raise MediaError("a broken JPEG header")
         if marker == 0xDB:
             while body:
                 wide = body[0] >> 4
@@ -123,7 +138,7 @@ def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
                 tables[kind], body = codes, body[k:]
         elif marker == 0xC0:
             _, height, width, n = struct.unpack_from(">BHHB", body)
-            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            parts = tuple((body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n))
         elif 0xC1 <= marker <= 0xCF:
             raise MediaError("not a baseline JPEG")
         elif marker == 0xDD and struct.unpack(">H", body)[0]:
@@ -132,8 +147,23 @@ def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
             scan = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
     if parts is None or len(scan) != len(parts):
         raise MediaError("only single interleaved scans are read")
+    return Header(width, height, parts, quants, tables, scan, at)
+
+
+def _scan_of(data: bytes, header: Header) -> bytes:
+    """The scan's bits, without the zero bytes that are stuffed in after bytes 255."""
     end = data.rfind(b"\xff\xd9")
-    raw = data[at : end if end >= at else len(data)].replace(b"\xff\x00", b"\xff")
+    return data[header.end : end if end >= header.end else len(data)].replace(b"\xff\x00", b"\xff")
+
+
+def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Width, height, and the first component's blocks and quantisers, of any baseline Huffman JPEG without restarts.
+
+    Blocks are rows of 64 quantised coefficients in storage order, by block row and column.
+    """
+    header = read_header(data)
+    parts, scan, tables = header.parts, header.scan, header.tables
+    raw = _scan_of(data, header)
     length, where = len(raw) * 8, 0
 
     def take(n: int) -> int:
@@ -156,9 +186,9 @@ def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
         raise MediaError("an unknown JPEG code")
 
     most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    across, down = -(-header.width // (8 * most_h)), -(-header.height // (8 * most_v))
     if len(parts) == 1:
-        across, down = -(-width // 8), -(-height // 8)
+        across, down = -(-header.width // 8), -(-header.height // 8)
     sizes = [(1, 1)] if len(parts) == 1 else [(p[1], p[2]) for p in parts]
     first = np.zeros((down * sizes[0][1], across * sizes[0][0], 64), dtype=np.int32)
     before = [0] * len(parts)
@@ -184,34 +214,75 @@ def decode_picture(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
                         k += 1
                     if c == 0:
                         first[my * v + b // h, mx * h + b % h] = block
-    return width, height, first.reshape(-1, 64), quants[parts[0][3]]
+    return header.width, header.height, first.reshape(-1, 64), header.quants[parts[0][3]]
+
+
+#: How far an end-of-block code leads; no run does.
+END = 1000
+
 
+def _lookup(codes: dict[tuple[int, int], int], first: bool) -> np.ndarray:
+    """For any 16 bits what the code that they begin with asks for, ``first`` for a block's first coefficient.
 
-def _own(frames: list[bytes]) -> bool:
-    """Whether all pictures begin as this writer's do, so that their blocks are at known bits."""
-    head = _head()
-    return all(f.startswith(head) for f in frames)
+    Columns: bits taken in all, how far to shift 32 bits for the value's own bits, their mask, the least value that isn't
+    negative, what is taken from negative ones, and how many coefficients are left out. Unknown codes take more bits than any scan has.
+    """
+    out = np.zeros((1 << 16, 6), dtype=np.int64)
+    out[:, 0] = 1 << 40
+    for (n, code), symbol in codes.items():
+        run, size = (0, symbol & 15) if first else divmod(symbol, 16)
+        skip = END if not first and symbol == 0 else run
+        out[code << (16 - n) : (code + 1) << (16 - n)] = n + size, 32 - n - size, (1 << size) - 1, 1 << size >> 1, (1 << size) - 1, skip
+    return out
+
+
+def decode_alike(scans: list[bytes], header: Header) -> np.ndarray:
+    """Coefficients as (picture, block, 64) of grey pictures that share a header: one symbol of each picture per step."""
+    n, blocks = len(scans), -(-header.width // 8) * -(-header.height // 8)
+    which = header.scan[header.parts[0][0]]
+    table = np.concatenate([_lookup(header.tables[which >> 4], True), _lookup(header.tables[16 + (which & 15)], False)])
+    sizes = np.array(list(map(len, scans)), dtype=np.int64)
+    flat = np.frombuffer(b"".join(s + bytes(8) for s in scans), dtype=np.uint8)
+    # 40 bits from each byte on hold a code of up to 16 bits and as many further ones, wherever in the byte it begins
+    word = sum(flat[i : len(flat) - 4 + i].astype(np.int64) << (32 - 8 * i) for i in range(5))
+    start = np.concatenate([[0], np.cumsum(sizes + 8)[:-1]])
+    out = np.zeros(n * blocks * 64 + 1, dtype=np.int32)  # the last takes what is written nowhere
+    own, at, stop, place = np.arange(n) * (blocks * 64), start * 8, (start + sizes) * 8, np.zeros(n, dtype=np.int64)
+    while len(own):
+        k = place & 63
+        bits = word[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+        row = table[(bits >> 16) + ((k > 0) << 16)]
+        value = bits >> np.maximum(row[:, 1], 0) & row[:, 2]
+        value -= row[:, 4] * (value < row[:, 3])
+        at = at + row[:, 0]
+        if (at > stop).any():
+            raise MediaError("an unknown JPEG code, or a scan that ends too early")
+        skip = row[:, 5]
+        k += skip
+        if ((k > 63) & (k < END)).any():
+            raise MediaError("a JPEG block is too long")
+        ends = skip == END
+        place = place + skip
+        out[np.where(ends, -1, own + place)] = value
+        place = np.where(ends, (place - END) | 63, place) + 1
+        going = place < blocks * 64
+        if not going.all():
+            own, at, stop, place = (x[going] for x in (own, at, stop, place))
+    found = out[:-1].reshape(n, blocks, 64)
+    found[:, :, 0] = np.cumsum(found[:, :, 0], axis=1)  # first coefficients are stored as differences
+    return found
 
 
 def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients of this writer's frames as (frame, block, 64) in storage order, and the quantisers."""
-    if not _own(frames):
-        read = [decode_picture(f) for f in frames]
-        if len({r[:2] for r in read}) > 1:
-            raise MediaError("pictures of unequal size")
-        return np.stack([r[2] for r in read]), read[0][3]
-    n, skip = len(frames), len(_head())
-    scans = b"".join(f[skip:-2].replace(b"\xff\x00", b"\xff") for f in frames)
-    if len(scans) != n * SCAN_BYTES:
-        raise MediaError("a JPEG scan of unexpected length")
-    bits = np.unpackbits(np.frombuffer(scans, dtype=np.uint8).reshape(n, SCAN_BYTES), axis=1)[:, :SCAN_BITS].reshape(n, BLOCKS, -1)
-    held = bits[:, :, 1:-2].reshape(n, BLOCKS, HELD, 9)
-    if bits[:, :, 0].any() or held[..., 0].any() or not bits[:, :, -2].all() or bits[:, :, -1].any():
-        raise MediaError("an unknown JPEG code")
-    value = np.packbits(held[..., 1:], axis=3)[..., 0].astype(np.int32)
-    blocks = np.zeros((n, BLOCKS, 64), dtype=np.int32)
-    blocks[:, :, 1 : HELD + 1] = np.where(value >= 128, value, value - 255)
-    return blocks, np.ones(64, dtype=np.float32)
+    """Coefficients of equally large frames as (frame, block, 64) in storage order, and the quantisers."""
+    header = read_header(frames[0])
+    head = frames[0][: header.end]
+    if len(header.parts) == 1 and all(f.startswith(head) for f in frames):
+        return decode_alike([_scan_of(f, header) for f in frames], header), header.quants[header.parts[0][3]]
+    read = [decode_picture(f) for f in frames]
+    if len({r[:2] for r in read}) > 1:
+        raise MediaError("pictures of unequal size")
+    return np.stack([r[2] for r in read]), read[0][3]
 
 
 def payload_of(blocks: np.ndarray) -> bytes:
@@ -310,21 +381,32 @@ def cuts(hists: np.ndarray) -> list[int]:
     return found
 
 
+#: A film of a longer text would not fit into a binary value.
+MOST_BYTES = 1_600_000_000
+
+
 def store(text: str) -> bytes:
     """The text's UTF-8 bytes as a film, filled up with bytes 255 to at least one and only whole frames."""
     raw = text.encode("utf-8")
+    if len(raw) > MOST_BYTES:
+        raise MediaError("a text too long for a film")
     return write_avi(encode_frames(raw + bytes([FILL]) * (max(1, -(-len(raw) // FRAME_BYTES)) * FRAME_BYTES - len(raw))))
 
 
-def recall(media: bytes) -> tuple[bytes, list[tuple[int, int, int, int]]]:
-    """The payload that a film of this writer holds, and its clips: number, start and end in ms, frames."""
-    micros, frames = read_avi(media)
-    payload, hists = [], []
-    for i in range(0, len(frames), AT_ONCE):
-        blocks, quants = decode_frames(frames[i : i + AT_ONCE])
-        payload.append(payload_of(blocks))
-        hists.append(histograms(luminance(blocks, quants)))
-    return b"".join(payload), timed(np.concatenate(hists) if hists else np.zeros((0, BINS)), micros)
+def recall(films: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    """For each film of this writer the payload that it holds, and its clips: number, start and end in ms, frames.
+
+    Frames of all films are decoded together, AT_ONCE at a time.
+    """
+    read = [read_avi(f) for f in films]
+    every = [f for _, frames in read for f in frames]
+    parts = (decode_frames(every[i : i + AT_ONCE]) for i in range(0, len(every), AT_ONCE))
+    payloads, hists = zip(*((payload_of(blocks), histograms(luminance(blocks, quants))) for blocks, quants in parts), strict=True)
+    payload, hist, at = b"".join(payloads), np.concatenate(hists), 0
+    for micros, frames in read:
+        end = at + len(frames)
+        yield payload[at * FRAME_BYTES : end * FRAME_BYTES], timed(hist[at:end], micros)
+        at = end
 
 
 def clips_of(media: bytes) -> list[tuple[int, int, int, int]]:
@@ -366,26 +448,25 @@ CHARS_AT_ONCE = 1_000_000
 
 def stored_and_read(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of READ: the film of each text, and what reading it gives, its payload as size, hash
-    and checksum of its last 32 bytes, and the clips. As ``with_media``; the text itself is left out."""
+    and checksum of its last 32 bytes, and the clips. As ``with_media``; the text itself is left out. A text whose film
+    would pass the 2 GB that a binary value holds, or the 4 GB of RIFF (texts of over MOST_BYTES), raises a MediaError."""
     names = ["media", "payload_bytes", "payload_sha256", "tail_crc32", "clips"]
     rest = [c for c in docs.columns if c not in (*names, text)]
     kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int32())]))]
 
-    def row(body: str) -> tuple:
-        film = store(body)
-        payload, shots = recall(film)
-        return film, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), _clip_dicts(shots)
+    def group(bodies: list[str]) -> list[tuple]:
+        films = [store(b) for b in bodies]
+        return [(film, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), _clip_dicts(shots)) for film, (payload, shots) in zip(films, recall(films), strict=True)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, texts, at = batch.columns[: len(rest)], batch.column(len(rest)), 0
             while at < batch.num_rows:
-                rows, size, start = [], 0, at
-                while at < batch.num_rows and (not rows or size < CHARS_AT_ONCE):
-                    body = texts[at].as_py()
-                    rows.append(row(body))
-                    size, at = size + len(body), at + 1
-                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                bodies, size, start = [], 0, at
+                while at < batch.num_rows and (not bodies or size < CHARS_AT_ONCE):
+                    bodies.append(texts[at].as_py())
+                    size, at = size + len(bodies[-1]), at + 1
+                made = [pa.array(c, k) for c, k in zip(zip(*group(bodies), strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, at - start) for c in kept), *made], names=[*rest, *names])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), READ])

@@ -102,8 +102,9 @@ def _planned(docs: DataFrame, weights: list[int], most: int, text: str) -> tuple
     return sized, F.broadcast(plan) if small else plan
 
 
-def _copies() -> Column:
-    return F.col("_copies") + (F.col("_place") < F.coalesce(F.col("threshold"), F.lit(0))).cast("long")
+def _times(plan: Column, at: Column, most: int) -> Column:
+    """How often a document at this place is taken. Documents without words cost nothing; ``most`` holds for them too."""
+    return F.least(plan["_copies"] + (at < F.coalesce(plan["threshold"], F.lit(0))).cast("long"), F.lit(most).cast("long"))
 
 
 def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text") -> DataFrame:
@@ -117,7 +118,8 @@ def mixed(docs: DataFrame, weights: list[int], most: int = 3, text: str = "text"
     """
     sized, plan = _planned(docs, weights, most, text)
     joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    joined = joined.select("doc_id", "d.source", "size", "source_size", "target", _copies().alias("copies"))
+    times = _times(F.struct("_copies", "threshold"), F.col("_place"), most)
+    joined = joined.select("doc_id", "d.source", "size", "source_size", "target", times.alias("copies"))
     return joined.withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -128,5 +130,5 @@ def mixture(docs: DataFrame, weights: list[int], most: int = 3, text: str = "tex
     rows = docs.withColumn(at, place(F.col("doc_id"), whole(text)))
     # the plan's columns may be named like the table's, so it comes as one
     joined = rows.join(plan.select(F.col("source").alias(own), F.struct("_copies", "threshold").alias(times)), F.col("source").eqNullSafe(F.col(own)))
-    many = F.col(times)["_copies"] + (F.col(at) < F.coalesce(F.col(times)["threshold"], F.lit(0))).cast("long")
+    many = _times(F.col(times), F.col(at), most)
     return joined.filter(many > 0).withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), many))).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimtrace.llm import host_quality, importance, media, mixing, pieces, secrets, shard, simhash, token_count, toxicity
-from claimtrace.llm.common import spread, table, whole
+from claimtrace.llm.common import table, whole
 
 SEED = 20240229
 #: Of the documents labelled as good, so many at most stand for the target of the quality classifier.
@@ -17,8 +17,7 @@ TARGET_ROWS = 20_000
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents for operators whose work on each text is long enough that all cores should share a small table."""
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +76,7 @@ def op8_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = host_quality.judged(_documents(spark, sf_dir))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_poor", "host_rejected")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +130,8 @@ ORACLE_SQL: dict[str, str] = {
             sum(size) OVER (PARTITION BY s.source ORDER BY place) AS upto, sum(size) OVER (PARTITION BY s.source, place) AS words
             FROM s JOIN c ON s.source IS NOT DISTINCT FROM c.source),
         e AS (SELECT *, min(CASE WHEN upto - budget > budget - (upto - words) THEN place END) OVER (PARTITION BY source) AS ending FROM d)
-        SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN ending IS NULL OR place < ending THEN 1 ELSE 0 END) AS taken, source,
-            copies + CASE WHEN ending IS NULL OR place < ending THEN 1 ELSE 0 END AS copies FROM e""",
+        SELECT doc_id, size, source_size, target, size * least(copies + CASE WHEN ending IS NULL OR place < ending THEN 1 ELSE 0 END, 3) AS taken, source,
+            least(copies + CASE WHEN ending IS NULL OR place < ending THEN 1 ELSE 0 END, 3) AS copies FROM e""",
     "op7_secret_scan": f"""
         WITH every AS ({" UNION ALL ".join(_spans_sql(r.kind, k, r.java, r.group, r.least) for k, r in enumerate(secrets.RULES))}),
         found AS (SELECT doc_id, k, CAST(s.a AS BIGINT) AS a, kind || ':' || CAST(s.a AS BIGINT) || ':' || CAST(s.a + s.n AS BIGINT) AS span FROM every),
@@ -156,7 +155,8 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT sum(n) AS sn, sum(x) / sum(n) AS mean, sum(n * n) AS nn, sum(x * x / n) AS xx, count(*) AS hosts FROM h),
         e AS (SELECT mean, sn, xx - sn * mean * mean AS spread, mean * (1 - mean) * (hosts - 1) AS chance, mean * (1 - mean) * (sn - nn / sn - (hosts - 1)) AS unit FROM t),
         p AS (SELECT mean, least(1e6, greatest(1.0, 1 / greatest(CASE WHEN unit > 0 THEN (spread - chance) / unit ELSE 0 END, 1e-6) - 1)) AS weight FROM e),
-        b AS (SELECT source FROM h, p WHERE (x + mean * weight) / (n + weight) * 100 > 60)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept, bad AS host_rejected
-        FROM (SELECT *, EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM f.source) AS bad FROM f) z""",
+        b AS (SELECT source, rate FROM (SELECT source, mean, weight, (x + mean * weight) / (n + weight) AS rate FROM h, p) y WHERE rate * 100 > 60 OR rate > mean + 2.33 * sqrt(mean * (1 - mean) / (weight + 1)))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR bad OR poor AND soft) AS kept, poor AS host_poor, bad AS host_rejected
+        FROM (SELECT *, EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM f.source) AS poor,
+            EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM f.source AND rate * 100 > 60) AS bad FROM f) z""",
 }

@@ -1,27 +1,33 @@
 """Secret scans by a trigram inverted index.
 
 Each rule's regex is read for the trigrams that its matches can't lack; they form a Boolean query, an OR of ANDs. The
-index has a posting for each document and query trigram that is in its text. Intersecting the postings gives the
-candidates of each rule, and only those are searched with the regex. Rules without mandatory trigrams search all.
-Everything is DataFrame operations.
+index tells for each query trigram which texts have it. It is kept beside the texts, as words of one bit per posting
+list, so intersecting lists is an AND on words of the same row: no text and no id is shuffled, whatever the number of
+candidates. ``postings`` gives the same index as lists. Only candidates are searched with a rule's regex; rules without
+mandatory trigrams search all. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut, row_id, unused, whole
+from claimtrace.llm.common import unused, whole
 
 #: So many strings or clauses at most are followed through a regex; beyond, a query is cut short and stays a superset.
 MOST = 64
-#: Candidates are broadcast up to so many (16 bytes each); beyond, they are joined by a shuffle.
-MOST_BROADCAST = 250_000
+#: Posting lists per word of the index.
+BITS = 62
+#: Arrays are grown in chunks of so many elements, so that long ones aren't copied for each element.
+CHUNK = 128
+#: Texts are cut into blocks of so many code points before pieces are taken from them.
+BLOCK = 512
 
 Clauses = list[frozenset]
 
@@ -112,72 +118,106 @@ def trigram_query(rule: Rule) -> Clauses:
 
 
 def terms(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
-    """The index's terms: a trigram, and whether it is looked for in the lower-cased text. 62 at most fit."""
-    found = sorted({(t, r.ignore_case) for r in rules for c in trigram_query(r) for t in c})
-    if len(found) > 62:
-        raise ValueError("rules with more than 62 trigrams: scan with several sets of rules")
-    return found
+    """The index's terms: a trigram, and whether it is looked for in the lower-cased text."""
+    return sorted({(t, r.ignore_case) for r in rules for c in trigram_query(r) for t in c})
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
-    """The inverted index ``term, uid``: which texts have which trigram."""
+def index_words(rules: tuple[Rule, ...], text: str = "text") -> Column:
+    """The index's entry of a text: an array of words of BITS bits, the i-th of which tells whether it has term i."""
     body, low = whole(text), F.lower(whole(text))
-    has = [F.when((low if fold else body).contains(t), F.lit(i)) for i, (t, fold) in enumerate(terms(rules))]
-    if not has:
-        return docs.select(F.lit(0).alias("term"), row_id(text=text).alias("uid")).limit(0)
-    return docs.select(row_id(text=text).alias("uid"), F.explode(F.array_compact(F.array(*has))).alias("term")).select("term", "uid")
+    has = [(low if fold else body).contains(t) for t, fold in terms(rules)]
+    words = [has[i : i + BITS] for i in range(0, len(has), BITS)]
+    bit = lambda x, i: F.when(x, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), (bit(x, i) for i, x in enumerate(w))) for w in words)).cast("array<long>")
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``uid, rules``: texts that fulfil the query of some rule, with a bit for each such rule.
+def postings(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
+    """The inverted index as lists: ``term, doc_id``, which texts have which trigram."""
+    (words,) = unused(docs, "_words")
+    listed = docs.withColumn(words, index_words(rules, text)).select("doc_id", F.posexplode(words).alias("_w", "_bits"))
+    each = F.array(*(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col("_w") * BITS + i) for i in range(BITS)))
+    listed = listed.select("doc_id", F.explode(F.array_compact(each)).alias("_i"))
+    names = F.array(*(F.lit(t) for t, _ in terms(rules))).cast("array<string>")
+    return listed.select(F.get(names, F.col("_i")).alias("term"), "doc_id")
 
-    The postings of a text meet as bits of one word, so the shuffle has one word per text and task, however often an
-    id is repeated.
-    """
+
+def fulfils(rule: Rule, rules: tuple[Rule, ...], words: Column) -> Column:
+    """Whether a text whose index entry is ``words`` is a candidate of ``rule``: in all the lists of one of its clauses."""
     number = {t: i for i, t in enumerate(terms(rules))}
-    met = index.groupBy("uid").agg(F.bit_or(F.expr("shiftleft(1L, term)")).alias("_has"))
-    bits = F.lit(0)
-    for k, r in enumerate(rules):
-        needs = [sum(1 << number[t, r.ignore_case] for t in c) for c in trigram_query(r)]
-        fulfilled = reduce(lambda a, b: a | b, (F.col("_has").bitwiseAND(F.lit(n)) == F.lit(n) for n in needs), F.lit(False))
-        bits = bits + F.when(fulfilled, F.lit(1 << k)).otherwise(0)
-    return met.select("uid", bits.alias("rules")).filter("rules > 0")
+    clauses = []
+    for c in trigram_query(rule):
+        need: dict[int, int] = {}
+        for t in c:
+            i = number[t, rule.ignore_case]
+            need[i // BITS] = need.get(i // BITS, 0) | 1 << i % BITS
+        clauses.append(reduce(lambda a, b: a & b, (F.get(words, F.lit(w)).bitwiseAND(F.lit(n).cast("long")) == F.lit(n) for w, n in need.items())))
+    return reduce(lambda a, b: a | b, clauses) if clauses else F.lit(True)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fold(array: Column, at: int, kind: str, one: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A fold that carries a number ``at`` and grows an array ``out`` of ``kind``, in chunks, so in about linear time.
+
+    ``one`` gives for what is carried and an element the new number and the array of what is added (often empty).
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        now, new = one(acc, x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], new).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def folded(x: Column) -> Column:
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(x, i, CHUNK))
+        start = F.struct(F.lit(at).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(parts, start, chunk, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+    return _let(array, folded)
+
+
+SPAN = "struct<start:int,rule:int,end:int>"
 
 
 def _spans(rule: Rule, k: int, body: Column) -> Column:
     """``start, rule, end`` of a rule's matches in code points: what lies between them and they themselves, summed up."""
     regex = F.lit(rule.java)
     found, kept = F.regexp_extract_all(body, regex, F.lit(0)), F.regexp_extract_all(body, regex, F.lit(rule.group))
-    parts = F.arrays_zip(F.slice(F.split(body, rule.java, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), kept.alias("kept"))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    lengths = _let(found, lambda hits: F.transform(
+        F.arrays_zip(F.slice(F.split(body, rule.java, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), kept.alias("kept")),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["kept"]) >= rule.least).alias("good")),
+    ))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("rule"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["kept"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def one(acc: Column, x: Column) -> tuple[Column, Column]:
+        end = acc["at"] + x["gap"] + x["hit"]
+        span = F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(k).alias("rule"), end.alias("end"))
+        return end, F.when(x["good"], F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return _fold(lengths, 0, SPAN, one)["out"]
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans``: ``start, rule, end`` of every secret, by start, then rule.
 
     Positions are code points, ends are exclusive, rules count from 0. Null texts have no spans, like empty ones.
-    Repeated ids and rows without an id are searched if any row of the same id is a candidate, so nothing is missed.
-    An input column named ``secret_spans`` is replaced; an empty table gives an empty one.
+    Repeated rows and rows without an id are rows like others; spans of a text are found in time that grows with its
+    length. An input column named ``secret_spans`` is replaced; an empty table gives an empty one.
     """
     docs = docs.drop("secret_spans")
-    uid, which = unused(docs, "_uid", "_rules")
-    found = cut(candidates(postings(docs, rules, text), rules).select(F.col("uid").alias(uid), F.col("rules").alias(which)))
-    found = F.broadcast(found) if found.count() <= MOST_BROADCAST else found
-    marked = docs.withColumn(uid, row_id(text=text)).join(found, uid, "left")
+    words, found = unused(docs, "_words", "_found")
     body, each = whole(text), []
     for k, r in enumerate(rules):
-        searched = F.col(which).bitwiseAND(F.lit(1 << k)) != 0 if trigram_query(r) else F.lit(True)
+        searched = fulfils(r, rules, F.col(words)) if trigram_query(r) else F.lit(True)
         each.append(F.when(searched & body.rlike(r.java), _spans(r, k, body)))
-    every = F.flatten(F.array_compact(F.array(*each)))
-    return marked.withColumn("secret_spans", F.array_sort(every)).drop(uid, which)
+    rows = docs.withColumn(words, index_words(rules, text)).withColumn(found, F.array_compact(F.array(*each)))
+    return rows.withColumn("secret_spans", F.array_sort(F.flatten(found))).drop(words, found)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -187,16 +227,27 @@ def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def redacted(body: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of spans that overlap or touch replaced by ``mark``. Spans are sorted by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each stretch of spans that overlap or touch replaced by ``mark``. Spans are sorted by start.
+
+    What stays is taken from blocks of the text, so a long text isn't read from its beginning for each span.
+    """
+    gap = "struct<start:int,end:int>"
+
+    def one(acc: Column, s: Column) -> tuple[Column, Column]:
+        before = F.array(F.struct(F.greatest(acc["at"], F.lit(0)).alias("start"), s["start"].alias("end")))
+        return F.greatest(acc["at"], s["end"]), F.when(s["start"] > acc["at"], before).otherwise(F.array().cast(f"array<{gap}>"))
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+        return F.when(end > start, F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = (s["start"] > acc["at"]) | ((acc["at"] == 0) & (acc["out"] == ""))
-        gap = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def text(blocks: Column) -> Column:
+        return _let(_fold(spans, -1, gap, one), lambda r: F.concat(
+            F.array_join(F.transform(r["out"], lambda g: piece(blocks, g["start"], g["end"])), mark), F.lit(mark), piece(blocks, r["at"], F.length(body))
+        ))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return F.when(F.size(spans) > 0, _let(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), text)).otherwise(body)
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

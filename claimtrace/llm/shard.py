@@ -16,7 +16,7 @@ from claimtrace.llm.common import mix64, unused
 
 ROUNDS = 4
 #: Rows are numbered within so many buckets, by hash. Their counts, one row each, are all that meets in one task.
-BUCKETS = 4096
+BUCKETS = 1 << 14
 #: Repeated rows are written out again in chunks of so many.
 CHUNK = 10_000
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import SURROGATE, cut, give_back, row_id, unused, whole
+from claimtrace.llm.common import cut, first_of, give_back, join_hot, unused, whole
 from claimtrace.llm.graph import components
 
 BITS = 64
@@ -101,18 +101,28 @@ def _probes(segment: int, value: Column, ball: list[int]) -> Column:
 
 
 def links(nodes: DataFrame, n: int, distance: int) -> DataFrame:
-    """Pairs ``a < b`` of the fingerprints in ``nodes`` (``fp, part``) at ``distance`` bits or fewer, of unequal ``part``."""
+    """Pairs ``a < b`` of the fingerprints in ``nodes`` (``fp, part``) at ``distance`` bits or fewer, of unequal ``part``.
+
+    Of each table entry the fingerprints of its commonest part are kept apart and are held against probes of other parts
+    only. So a cloud of near copies that is one part already doesn't meet itself, however large it is.
+    """
     widths, radii = layout(n, distance)
     values = F.array(*(F.struct(F.lit(k).alias("seg"), v.alias("val")) for k, v in _segments(widths)))
     stored = nodes.select("fp", "part", F.inline(values))
+    of_part = stored.groupBy("seg", "val", "part").agg(F.count(F.lit(1)).alias("_n"))
+    main = of_part.groupBy("seg", "val").agg(F.max(F.struct("_n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("_parts"))
+    others = stored.join(main.filter("_parts > 1"), ["seg", "val"]).filter("part != main").select("fp", "part", "seg", "val")
     near = F.concat(*(_probes(k, v, _ball(widths[k], radii[k])) for k, v in _segments(widths)))
     probes = nodes.select(F.col("fp").alias("a"), F.col("part").alias("part_a"), F.inline(near))
-    met = (probes["seg"] == stored["seg"]) & (probes["val"] == stored["val"]) & (F.col("a") < F.col("fp")) & (F.col("part_a") != F.col("part"))
-    verified = met & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance)
-    return probes.join(stored, verified).select("a", F.col("fp").alias("b"))
+    close = (F.col("part_a") != F.col("part")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance)
+    to_main = probes.join(main, ["seg", "val"]).filter("part_a != main").join(stored, ["seg", "val"]).filter(close & (F.col("part") == F.col("main")))
+    to_others = probes.join(others, ["seg", "val"]).filter(close)
+    # either end may have sent the probe that found the other
+    pairs = [x.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")) for x in (to_main, to_others)]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
-def _stars(nodes: DataFrame, distance: int, bits: int = 16) -> DataFrame:
+def _stars(nodes: DataFrame, count: int, distance: int, bits: int = 16) -> DataFrame:
     """Links of each fingerprint to the commonest one with the same value of a segment, where they are near.
 
     They are a few per fingerprint, and join most of a dense cloud of near copies, whose pairs would be many.
@@ -120,26 +130,27 @@ def _stars(nodes: DataFrame, distance: int, bits: int = 16) -> DataFrame:
     widths = [bits] * (BITS // bits)
     values = F.array(*(F.struct(F.lit(k).alias("seg"), v.alias("val")) for k, v in _segments(widths)))
     stored = nodes.select("fp", "n", F.inline(values))
-    hub = stored.groupBy("seg", "val").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("_many")).filter("_many > 1")
+    stored = stored.select("n", "fp", F.struct("seg", "val").alias("key"))
+    hub = cut(stored.groupBy("key").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("_many")).filter("_many > 1"))
     near = F.bit_count(F.col("hub").bitwiseXOR(F.col("fp"))) <= distance
-    return stored.join(hub, ["seg", "val"]).filter(near & (F.col("hub") != F.col("fp"))).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    return join_hot(stored, hub, "key", "_many", len(widths) * count).filter(near & (F.col("hub") != F.col("fp"))).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: str = "text") -> DataFrame:
-    """One row per document: ``uid, doc_id, fp, fingerprint, component``.
+    """One row per document: ``doc_id, fp, fingerprint, component``.
 
-    ``component`` is the smallest id that is reached over links between fingerprints of ``distance`` bits or fewer.
-    Null and empty texts, and texts of white space, have fingerprint 0 and are linked like any other. A row without
-    an id gets one above all real ones, made from its text (``uid``); a component that has such rows only has a null
+    ``component`` is the smallest id that is reached over links between fingerprints of ``distance`` bits or fewer; ids
+    may be of any type that has an order. Null and empty texts, and texts of white space, have fingerprint 0 and are
+    linked like any other. Rows without an id come after all ids, so a component of such rows only has a null
     ``component``. Rows with equal ids stay as they are. Ties can't change a component. An empty table gives an empty
-    one. Other columns are left out.
+    one. Other columns are left out. ``_text`` is a hash of the text, ``_part`` names the component for joins.
     """
-    rows = cut(docs.select(row_id(text=text).alias("uid"), "doc_id", F.xxhash64(whole(text)).alias("_text"), fingerprints(whole(text), width).alias("fp")))
-    nodes = cut(rows.groupBy("fp").agg(F.min("uid").alias("least"), F.count(F.lit(1)).alias("n")))
-    n = nodes.count()
-    near = cut(components(_stars(nodes, distance)))
-    parts = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("part")))
-    far = links(parts, n, distance)
+    rows = cut(docs.select("doc_id", F.xxhash64(whole(text)).alias("_text"), fingerprints(whole(text), width).alias("fp")))
+    nodes = cut(rows.groupBy("fp").agg(first_of().alias("least"), F.count(F.lit(1)).alias("n")))
+    n, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    near = cut(components(_stars(nodes, n, distance)))
+    parts = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("part")))
+    far = cut(links(parts, n, distance))
     ends = parts.select("fp", "part")
     between = (
         far.join(ends.select(F.col("fp").alias("a"), F.col("part").alias("pa")), "a")
@@ -148,27 +159,30 @@ def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: st
         .distinct()
     )
     joined = components(cut(between))
-    parts = parts.join(joined, parts["part"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "part").alias("part"))
-    least = parts.groupBy("part").agg(F.min("least").alias("component"))
-    of = parts.join(least, "part").select("fp", F.col("part").alias("_part"), F.when(F.col("component") < SURROGATE, F.col("component")).alias("component"), F.col("component").alias("_first"))
-    return rows.join(of, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    own = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_many")).join(joined, F.col("part") == F.col("node"), "left")
+    own = cut(own.select("part", "_many", F.coalesce("root", "part").alias("_part")))
+    parts = cut(join_hot(parts.select("fp", "n", "least", "part"), own, "part", "_many", n).select("fp", "n", "least", "_part"))
+    least = cut(parts.groupBy("_part").agg(F.min("least").alias("_first"), F.count(F.lit(1)).alias("_many")))
+    of = cut(join_hot(parts.select("fp", "n", "_part"), least, "_part", "_many", n).select("fp", "n", "_part", F.col("_first.id").alias("component")))
+    return join_hot(rows, of, "fp", "n", n_rows).drop("n", "_many").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
 def representatives(docs: DataFrame, width: int = 4, distance: int = 4, text: str = "text") -> DataFrame:
-    """One document of each component, with the columns of ``docs``: the one with the smallest id.
+    """One document of each component, with the columns of ``docs``: the one with the smallest id, if any has one.
 
     Of several texts under that id in the component the one with the smallest hash stays, and of repeated rows one. An
     id with texts in several components stands for each of them.
     """
-    uid, hashed = unused(docs, "_uid", "_hash")
-    rows = with_components(docs, width, distance, text).groupBy("_part").agg(F.min(F.struct("uid", "_text")).alias("first"))
-    return chosen(docs, cut(rows.select(F.col("first.uid").alias(uid), F.col("first._text").alias(hashed))), uid, hashed, text)
+    return chosen(docs, with_components(docs, width, distance, text).groupBy("_part").agg(first_of().alias("first")), text)
 
 
-def chosen(docs: DataFrame, stay: DataFrame, uid: str, hashed: str, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id and text hash are in ``stay``, repeated ones once."""
-    rows = docs.withColumn(uid, row_id(text=text)).withColumn(hashed, F.xxhash64(whole(text))).join(stay, [uid, hashed], "left_semi")
-    if rows.groupBy(uid, hashed).count().filter("count > 1").isEmpty():
+def chosen(docs: DataFrame, firsts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text hash are a ``first`` (see ``first_of``), repeated ones once."""
+    same_id, hashed = unused(docs, "_id", "_hash")
+    stay = cut(firsts.select(F.col("first.id").alias(same_id), F.col("first.hash").alias(hashed)))
+    rows = docs.withColumn(hashed, F.xxhash64(whole(text)))
+    rows = rows.join(stay, (rows[hashed] == stay[hashed]) & rows["doc_id"].eqNullSafe(stay[same_id]), "left_semi")
+    if rows.groupBy("doc_id", hashed).count().filter("count > 1").isEmpty():
         return rows.select(*docs.columns)
     # partial aggregates keep one row per task before anything moves, however often a row is repeated
-    return rows.dropDuplicates([uid, hashed]).select(*docs.columns)
+    return rows.dropDuplicates(["doc_id", hashed]).select(*docs.columns)

@@ -9,16 +9,20 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from claimtrace.llm.common import whole
 
-#: Fixed: how byte-level BPE cuts a text into pieces before merging (public pattern of that tokenizer family).
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed: how byte-level BPE cuts a text into pieces before merging (public pattern of that tokenizer family), with
+#: the sets of letters, numbers and white space left open.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
 #: Counts of so many distinct pieces are kept by a Python worker, each piece of at most so many characters.
 KEPT, KEPT_CHARS = 600_000, 64
@@ -31,10 +35,62 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Cutting:
+    """Patterns that cut texts into pieces: ``usual`` holds for texts without any of the characters in ``odd`` (a set of
+    them, from ``lowest`` on), ``exact`` for all. They differ where the library's Unicode version isn't that of ``regex``."""
+
+    usual: str
+    exact: str
+    odd: str
+    lowest: str
+
+
+@cache
+def cutting(path: str) -> Cutting:
+    """How the library cuts texts, as its own pre-tokenizer shows for every code point.
+
+    All letters that ``regex`` knows are cut as one text, and so are all numbers, white space and the rest. Pieces that
+    aren't of that class are found by showing their first character between a mark and a letter, and between a mark and
+    a digit: a letter stays with the letter, a number with the digit, white space with neither, all else with the mark.
+    """
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+    def kind(c: str) -> str:
+        (with_a, with_1) = ([a for _, (a, _) in cut(f"!{c}{after}")] for after in "a1")
+        return "X" if 1 not in with_a else "L" if 2 not in with_a and c != " " else "N" if 2 not in with_1 and c != " " else "S"
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s", "X": r"[^\s\p{L}\p{N}]"}
+    sets: dict[str, list[str]] = {k: [] for k in classes}
+    odd: list[str] = []
+    for k, named in classes.items():
+        known = "".join(regex.findall(named, every))
+        for _, (a, b) in cut(known):
+            found = kind(known[a])
+            sets[found].extend(known[a:b])
+            if found != k:
+                odd.extend(known[a:b])
+    exact = {k: _ranges(sorted(map(ord, v))) for k, v in sets.items()}
+    usual = PIECES.format(**{k: v for k, v in classes.items() if k != "X"})
+    return Cutting(usual, PIECES.format(**exact), f"[{_ranges(sorted(map(ord, odd)))}]" if odd else "(?!)", min(odd, default=chr(0x10FFFF)))
+
+
+def _ranges(points: list[int]) -> str:
+    """Sorted code points as ranges of a character set."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class BpeCounter(dict):
     """Counts tokens. As a dict it maps pieces that were met before to their counts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cutting: Cutting):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,7 +112,8 @@ class BpeCounter(dict):
             self.merges[ids[left] * self.width + ids[right]] = rank * self.width + ids[left + right]
         specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
-        self.pieces = regex.compile(PIECES).findall
+        self.usual, self.exact, self.odd = (regex.compile(p) for p in (cutting.usual, cutting.exact, cutting.odd))
+        self.lowest = cutting.lowest
 
     def __missing__(self, piece: str) -> int:
         n = self.merged(piece.encode("utf-8"))
@@ -104,32 +161,31 @@ class BpeCounter(dict):
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; a special string in it is one token, as by the library's default."""
+        odd = text and max(text) >= self.lowest and self.odd.search(text)
+        pieces = (self.exact if odd else self.usual).findall
         if self.special is None:
-            return sum(map(self.__getitem__, self.pieces(text)))
+            return sum(map(self.__getitem__, pieces(text)))
         total = at = 0
         for m in self.special.finditer(text):
-            total += 1 + sum(map(self.__getitem__, self.pieces(text, at, m.start()))) if m.start() > at else 1
+            total += 1 + sum(map(self.__getitem__, pieces(text, at, m.start()))) if m.start() > at else 1
             at = m.end()
         rest = text[at:] if at else text
-        return total + sum(map(self.__getitem__, self.pieces(rest)))
-
-
-_counters: dict[str, BpeCounter] = {}
+        return total + sum(map(self.__getitem__, pieces(rest)))
 
 
-def counter(path: str) -> BpeCounter:
+@cache
+def counter(path: str, cutting: Cutting) -> BpeCounter:
     """The vocabulary, read once by each Python worker; ``path`` must be readable on every machine."""
-    if path not in _counters:
-        _counters[path] = BpeCounter(path)
-    return _counters[path]
+    return BpeCounter(path, cutting)
 
 
 def n_tokens(text: Column, path: str) -> Column:
     """The number of tokens of each text."""
+    cuts = cutting(path)  # found out once, on the driver
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(path).count
+        count = counter(path, cuts).count
         for texts in batches:
             yield pd.Series([count(t) for t in texts], dtype="int64")
 

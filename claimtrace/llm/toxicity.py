@@ -193,12 +193,13 @@ def learn(docs: DataFrame, labels: DataFrame, training: Training, text: str = "t
     rows = docs.select("doc_id", whole(text).alias("_text")).join(F.broadcast(first), "doc_id")
 
     @F.pandas_udf("own array<long>, swaps array<array<long>>")
-    def features(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        found = [(text_features(t), [text_features(s) for s in swapped(t, int(i), training)]) for i, t in zip(ids, texts, strict=True)]
+    def features(texts: pd.Series) -> pd.DataFrame:
+        # which names stand in for a text's own follows from the text alone
+        found = [(text_features(t), [text_features(s) for s in swapped(t, xxhash.xxh32_intdigest(t), training)]) for t in texts]
         return pd.DataFrame(found, columns=["own", "swaps"])
 
-    got = rows.select("doc_id", "_label", F.xxhash64("_text").alias("_hash"), features("doc_id", "_text").alias("_f")).groupBy("doc_id").agg(F.min_by(F.struct("_label", "_f"), "_hash").alias("_r"))
-    learned = sorted(((r["doc_id"], int(r["_r"]["_label"] > 0), np.array(r["_r"]["_f"]["own"], dtype=np.int64), [np.array(s, dtype=np.int64) for s in r["_r"]["_f"]["swaps"]]) for r in got.toLocalIterator()), key=lambda x: x[0])
+    got = rows.select("doc_id", "_label", F.xxhash64("_text").alias("_hash"), features("_text").alias("_f")).groupBy("doc_id").agg(F.min_by(F.struct("_label", "_f", "_hash"), "_hash").alias("_r"))
+    learned = sorted(((r["_r"]["_hash"], int(r["_r"]["_label"] > 0), np.array(r["_r"]["_f"]["own"], dtype=np.int64), [np.array(s, dtype=np.int64) for s in r["_r"]["_f"]["swaps"]]) for r in got.toLocalIterator()), key=lambda x: x[:2])
     return fit([x[1:] for x in learned], training)
 
 

@@ -336,7 +336,7 @@ def test_op9_measures(spark, docs):
         want = brute_quality(text[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
-        assert r.base_failed == failed and r.kept == (not failed)
+        assert r.base_failed == failed and r.kept == (not failed) and not r.host_poor  # its hosts are equally mixed
     assert host_quality.measure("a b a b a b c\x85")[:2] == (6, 9) and host_quality.repeated_words(list("xaaaay")) == 4
 
 
@@ -351,7 +351,7 @@ def test_op10_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    c = token_count.counter(P.path("byte_bpe_50k.json"))
+    c = token_count.counter(P.path("byte_bpe_50k.json"), token_count.cutting(P.path("byte_bpe_50k.json")))
     rng = np.random.default_rng(4)
     odd = ["", "<|endoftext|>", "x <|endoftext|>y<|endoftext|>", " " * 70, "a" * 3000, "\n\n \t x", "\x1c\x1d x", "\x85\xa0", "it's WE'LL", "٣ ½ Ⅷ", "👩‍👩‍👧"]
     odd += ["".join(chr(rng.choice([32, 10, 39, 97, 98, 0xE9, 0x4E00, 0x1F600, 0x2028, 48])) for _ in range(40)) for _ in range(300)]
