@@ -18,8 +18,9 @@ def present(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(right.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def covered(points: DataFrame, spans: DataFrame, group: str, start: str, end: str, width: int) -> DataFrame:
-    """Points (``group, start, end``) that lie whole in some span of the same group, by range semi-join.
+def covered(points: DataFrame, spans: DataFrame, group: str, start: str, end: str, width: int, how: str = "left_semi") -> DataFrame:
+    """Points (``group, start, end``) that lie whole in some span of the same group, by range semi-join; with
+    ``left_anti`` those that lie in none.
 
     Both sides are cut into cells of ``width``, so that a group with very many points and spans is many small joins:
     a span goes to each cell that it touches, a point to the cell of its start.
@@ -28,7 +29,14 @@ def covered(points: DataFrame, spans: DataFrame, group: str, start: str, end: st
     s = spans.select(F.col(group).alias("_g"), F.col(start).alias("_a"), F.col(end).alias("_b"))
     s = s.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))))
     inside = (F.col(group) == F.col("_g")) & (F.col("_cell") == F.col("_c")) & (F.col("_a") <= F.col(start)) & (F.col("_b") >= F.col(end))
-    return p.join(s, inside, "left_semi").drop("_cell")
+    return p.join(s, inside, how).drop("_cell")
+
+
+def outside(points: DataFrame, spans: DataFrame, group: str, at: str, start: str, end: str, width: int = 512) -> DataFrame:
+    """Points (``group, at``) that no span ``[start, end)`` of the same group holds."""
+    p = points.withColumn("_s", F.col(at)).withColumn("_e", F.col(at) + 1)
+    s = spans.select(group, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    return covered(p, s, group, "_s", "_e", width, "left_anti").drop("_s", "_e")
 
 
 def as_of(points: DataFrame, marks: DataFrame, group: str, at: str, value: str) -> DataFrame:
@@ -82,16 +90,65 @@ def declared_pairs(values: DataFrame, link: str) -> DataFrame:
     return rows.select("ref", "other", state.alias("state"))
 
 
+#: Names are sent to all tasks up to so many; more meet texts over shared trigrams, and give the same rows.
+MOST_BROADCAST = 10_000
+
+
+def _grams(text: Column) -> Column:
+    """All strings of three characters in a text, and all of one, for names that are shorter."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(cut(1), cut(3)))
+
+
+def _gram(name: Column) -> Column:
+    """One string that every text with the name in it has: its first three characters, or its first."""
+    return F.substring(name, F.lit(1), F.when(F.length(name) >= 3, 3).otherwise(1))
+
+
+def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of ``t`` and ``name`` of distinct ``texts`` (``t``) and ``names`` (``name``) where the text contains the name."""
+    keyed = names.filter("name <> ''").withColumn("_g", _gram(F.col("name")))
+    met = texts.withColumn("_g", F.explode(_grams(F.col("t")))).join(keyed, "_g").filter(F.col("t").contains(F.col("name"))).drop("_g")
+    return met.unionByName(texts.join(F.broadcast(names.filter("name = ''")), F.lit(True)))
+
+
 def either_contains(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of ``left`` whose ``a`` and some ``b`` of ``right`` contain one another (either way, by any case).
+    """Rows of ``left`` whose ``a`` and some ``b`` of ``right`` contain one another (either way, by any case)."""
+    names = right.select(F.lower(b).alias("name")).filter("name is not null").distinct()
+    low = F.lower(F.col(a))
+    if names.count() <= MOST_BROADCAST:
+        return left.join(F.broadcast(names), low.contains(F.col("name")) | F.col("name").contains(low), "left_semi")
+    texts = left.select(low.alias("t")).filter("t is not null").distinct()
+    one = contained(texts, names).select("t")
+    other = contained(names.withColumnRenamed("name", "t"), texts.withColumnRenamed("t", "name")).select(F.col("name").alias("t"))
+    return left.join(one.union(other).distinct(), low == F.col("t"), "left_semi")
+
 
-    Equality on words can't find these, so ``right`` has to be a small table of names; its size is checked.
+#: Passages meet texts over so many words in a row.
+RUN = 5
+
+
+def quoted_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Rows of ``docs`` beside those of ``quotes`` whose whole ``quote`` the ``text`` contains (both as they are).
+
+    The first and last word of a quote may be parts of words in the text; the words between them are whole there. So the
+    hash of its second to sixth word is looked up among the text's runs of five words, and then the whole is compared.
+    Quotes of fewer words are compared with all texts while they are MOST_BROADCAST at most, and meet texts over
+    trigrams beyond.
     """
-    names = right.select(F.lower(b).alias("_b")).distinct()
-    if names.count() > 100_000:
-        raise ValueError("too many names to compare all texts with")
-    low = F.lower(F.col(a))
-    return left.join(F.broadcast(names), low.contains(F.col("_b")) | F.col("_b").contains(low), "left_semi")
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    q = quotes.withColumn("_w", words(F.col(quote)))
+    long = q.filter(F.size("_w") >= RUN + 2).withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 2, RUN), " "))).drop("_w")
+    d = docs.withColumn("_d", words(F.col(text)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_d") - RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_d", i, RUN), " ")))
+    found = d.withColumn("_key", F.explode(F.array_distinct(runs))).drop("_d").join(long, "_key").filter(F.col(text).contains(F.col(quote))).drop("_key")
+    short = q.filter(F.size("_w") < RUN + 2).drop("_w")
+    if short.isEmpty():
+        return found
+    if short.count() <= MOST_BROADCAST:
+        return found.unionByName(docs.join(F.broadcast(short), F.col(text).contains(F.col(quote))))
+    pairs = contained(docs.select(F.col(text).alias("t")).distinct(), short.select(F.col(quote).alias("name")).distinct())
+    return found.unionByName(docs.join(pairs, F.col(text) == F.col("t")).join(short, F.col(quote) == F.col("name")).drop("t", "name"))
 
 
 def matched_forms(atoms: DataFrame, values: DataFrame, text: str, display: str, ref: str) -> DataFrame:

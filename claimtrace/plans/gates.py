@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from claimtrace.functions import expressions as X
 from claimtrace.operators import aggregates as A
 from claimtrace.operators import joins as J
 from claimtrace.operators import windows as W
-from claimtrace.rules.tables import BINDS, LINT
+from claimtrace.rules.tables import BINDS, EXEMPT, LINT
 from claimtrace.text.frames import rows
 
 LISTED, PHRASES_LISTED, NEAR_CITATION, LEAST_WORDS = 50, 3, 240, 200  # fixed
@@ -41,14 +45,16 @@ def fragments_gate(found: DataFrame, late: DataFrame) -> DataFrame:
 
 def freshness(fragments: DataFrame, files: DataFrame) -> DataFrame:
     """G1: declared inputs that are missing or changed, and scripts that changed since."""
-    now = files.select("path", F.col("sha256").alias("_now"))
+    # a script may have been recorded with other line ends: ``forms`` are its digests with each of the three
+    forms = F.col("forms") if "forms" in files.columns else F.array("sha256")
+    now = files.select("path", F.col("sha256").alias("_now"), forms.alias("_forms"))
     inputs = fragments.select(F.col("path").alias("fragment"), F.inline("doc.provenance.inputs")).join(now, "path", "left")
     scripts = fragments.select(F.col("path").alias("fragment"), F.col("doc.provenance.generated_by").alias("path"), F.col("doc.provenance.generated_by_sha256").alias("_then")).filter("path is not null").join(now, "path", "left")
     return together(
         finding(inputs.filter("_now is null"), "G1", "input-missing", "fail", F.col("path"), "fragment"),
         finding(inputs.filter("_now <> sha256"), "G1", "input-changed", "fail", F.col("path"), "fragment"),
         finding(scripts.filter("_now is null"), "G1", "script-missing", "fail", F.col("path"), "fragment"),
-        finding(scripts.filter("_then is not null and _now <> _then"), "G1", "script-newer", "fail", F.col("path"), "fragment"),
+        finding(scripts.filter("_then is not null and not array_contains(_forms, _then)"), "G1", "script-newer", "fail", F.col("path"), "fragment"),
     )
 
 
@@ -180,27 +186,60 @@ def checklist(items: DataFrame, answers: DataFrame, headings: DataFrame) -> Data
     )
 
 
+HITS = "array<struct<kind:string,id:string,at:long,hit:string>>"
+
+
+def lint_hits(raw: Column, masked: Column) -> Column:
+    """Every match of the lint rules with its place: artefacts in the raw text, all else in the masked. Matches of
+    densities that lie where the rule's word is meant otherwise are left out."""
+
+    @F.pandas_udf(HITS)
+    def hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        rules = [(kind, name, re.compile(pattern, re.M), re.compile(EXEMPT[name]) if name in EXEMPT else None) for kind, name, pattern, _ in LINT]
+        for raws, proses in batches:
+            out = []
+            for text, prose in zip(raws, proses, strict=True):
+                found = []
+                for kind, name, pattern, exempt in rules:
+                    body = text if kind == "artefact" else prose
+                    free = [m.span() for m in exempt.finditer(body)] if exempt else []
+                    starts = [a for a, _ in free]
+                    for m in pattern.finditer(body):
+                        i = bisect_right(starts, m.start()) - 1
+                        if i < 0 or m.start() >= free[i][1]:
+                            found.append({"kind": kind, "id": name, "at": m.start() + 1, "hit": m[0]})
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    return hits(F.coalesce(raw, F.lit("")), F.coalesce(masked, F.lit("")))
+
+
+#: Hits named beside a density.
+SAMPLED = 8
+
+
 def lint(docs: DataFrame, analysis: DataFrame, spark: SparkSession) -> DataFrame:
-    """Left-over markup, stock phrases, appeals to nobody without a citation near, and cadences by density."""
-    rules = spark.createDataFrame([r for r in LINT if r[0] != "density"], "kind string, id string, pattern string, per_1000 double")
-    masked = analysis.select("path", F.col("parts.masked").alias("text"))
-    raw = docs.select("path", "text").crossJoin(F.broadcast(rules.filter("kind = 'artefact'")))
-    prose = masked.crossJoin(F.broadcast(rules.filter("kind <> 'artefact'")))
-    hits = raw.unionByName(prose).withColumn("hit", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))))
-    hits = hits.withColumn("at", F.instr("text", F.col("hit")).cast("long")).drop("text")
+    """Left-over markup, stock phrases, appeals to nobody without a citation near, and cadences by density over all
+    documents. Each text is read once for all rules."""
+    texts = docs.select("path", "text").join(analysis.select("path", F.col("parts.masked").alias("_masked"), F.col("parts.n_words").alias("_words")), "path")
+    found = texts.select("path", "_words", lint_hits(F.col("text"), F.col("_masked")).alias("_hits"))
+    hits = found.select("path", F.inline("_hits"))
     listed = W.capped(hits.filter("kind = 'phrase'"), ["path", "id"], ["at", "hit"], PHRASES_LISTED)
     cited = rows(analysis, "citations", "path").select("path", (F.col("start") + 1).cast("long").alias("at"))
     vague = J.none_near(hits.filter("kind = 'vague'"), cited, "path", "at", NEAR_CITATION)
-    out = [
+    limits = spark.createDataFrame([(name, float(most)) for kind, name, _, most in LINT if kind == "density"], "id string, most double")
+    words = found.agg(F.coalesce(F.sum("_words"), F.lit(0)).alias("words"))
+    shown = hits.filter("kind = 'density'").withColumn("hit", F.lower(F.trim("hit")))
+    of_rule = shown.groupBy("id").agg(F.count(F.lit(1)).alias("hits"))
+    named = W.capped(shown.select("id", "hit").distinct(), ["id"], ["hit"], SAMPLED).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("hit")), ", ").alias("named"))
+    dense = of_rule.join(F.broadcast(limits), "id").join(named, "id").crossJoin(F.broadcast(words))
+    dense = dense.filter((F.col("words") >= LEAST_WORDS) & (F.col("hits") * 1000.0 / F.col("words") > F.col("most")))
+    return together(
         finding(hits.filter("kind = 'artefact'"), "G6", "model-artefact", "fail", F.col("id"), "path", context=F.col("hit")),
         finding(listed, "G6", "ai-phrasing", "warn", F.col("id"), "path", context=F.col("hit")),
         finding(vague, "G6", "vague-attribution", "warn", F.col("id"), "path", context=F.col("hit")),
-    ]
-    words = analysis.withColumn("_all", F.lit("all")).withColumn("_text", F.col("parts.masked"))
-    for _, name, pattern, most in (r for r in LINT if r[0] == "density"):
-        d = A.density(words, ["_all"], F.regexp_count("_text", F.lit(pattern)), F.col("parts.n_words"), most, LEAST_WORDS)
-        out.append(finding(d.filter("fires"), "G6", "ai-cadence", "warn", F.lit(name)))
-    return together(*out)
+        finding(dense, "G6", "ai-cadence", "warn", F.col("id"), context=F.col("named")),
+    )
 
 
 def citations(analysis: DataFrame, known: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
@@ -279,7 +318,7 @@ def reviews(panel: DataFrame, records: DataFrame, files: DataFrame, severity: st
     read = records.select("round", "reviewer", F.explode("file_sha256").alias("path", "_then"))
     stale = read.join(files.select("path", F.col("sha256").alias("_now")), "path", "left").filter("not (_then <=> _now)")
     rounds = records.select("round").distinct()
-    unread = rounds.crossJoin(files.select("path")).join(read.select("round", "path"), ["round", "path"], "left_anti")
+    unread = files.select("path").crossJoin(F.broadcast(rounds)).join(read.select("round", "path"), ["round", "path"], "left_anti")
     opened = records.select("round", "reviewer", F.inline("findings")).filter("severity = 'major' and resolution is null")
     who = F.concat_ws(" ", F.col("round").cast("string"), "reviewer")
     return together(
@@ -350,6 +389,7 @@ def staged(findings: DataFrame, here: str) -> DataFrame:
 
 
 def report(findings: DataFrame) -> DataFrame:
-    """Findings in reading order."""
+    """Findings in reading order: ``n`` counts over all, by ranges, so that no task has to hold them all."""
     rank = F.expr("array_position(array('fail','warn','info'), severity)")
-    return findings.withColumn("n", F.row_number().over(Window.orderBy(rank, "path", F.coalesce("line", F.lit(0)), "code", "message")))
+    placed = findings.withColumn("_rank", rank).withColumn("_line", F.coalesce("line", F.lit(0)))
+    return W.ranked(placed, ["_rank", "path", "_line", "code", "message"], "n").drop("_rank", "_line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,18 +66,23 @@ def marks(atoms: DataFrame) -> DataFrame:
 def disjoint(spans: DataFrame) -> DataFrame:
     """Of each file's ``spans`` (``path, start, end``), by start, those that don't begin before the last kept one ends.
 
-    A dropped span doesn't hide later ones, however long it is, so a running maximum won't do: one pass over the
-    file's sorted spans keeps the end of the last kept one.
+    A dropped span doesn't hide later ones, however long it is, so a running maximum won't do: one pass over each file's
+    sorted spans keeps the end of the last kept one, and nothing else.
     """
-    own = F.struct(*spans.columns)
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans.select(own.alias('s')).schema['s'].dataType.simpleString()}>").alias("kept"))
 
-    def step(acc: Column, s: Column) -> Column:
-        free = s["start"] >= acc["at"]
-        return F.struct(F.when(free, s["end"].cast("int")).otherwise(acc["at"]).alias("at"), F.when(free, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
-
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col("start").alias("_s"), F.col("end").alias("_e"), own.alias("_x")))), lambda x: x["_x"])
-    return spans.groupBy("path").agg(in_order.alias("_all")).select(F.inline(F.aggregate("_all", none, step)["kept"]))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, upto = None, None
+        for batch in batches:
+            kept = []
+            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+                if path != file or upto is None or start >= upto:
+                    file, upto = path, end
+                    kept.append(True)
+                else:
+                    kept.append(False)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return spans.repartition("path").sortWithinPartitions("path", "start", "end").mapInArrow(keep, spans.schema)
 
 
 def numbered(spans: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,6 @@ from claimtrace.plans.gates import finding, together
 from claimtrace.rules import plotting as R
 from claimtrace.text import analyze as T
 
-FUNCTIONS = re.compile("|".join(f"(?:{p})" for p in R.FUNCTIONS))
 NOT_CLAIMS = re.compile("|".join(R.NOT_CLAIMS))
 CODES = {"text": "figure-source-text-number", "data": "figure-source-hardcoded-data", "loose": "figure-source-unclassified-number"}
 
@@ -29,13 +30,26 @@ def language(path: Column) -> Column:
     return F.when(suffix == "py", "python").when(suffix == "r", "r")
 
 
+@lru_cache(maxsize=256)
+def _line(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str]]]:
+    """Of a line the stretches that claim nothing, and its atoms with their kinds; lines with many numbers are read once."""
+    return [m.span() for m in NOT_CLAIMS.finditer(text)], [(a, b, kind) for _, a, b, kind, _ in T.classify(text)]
+
+
 def claims(text: str, column: int) -> bool:
     """Whether the number at ``column`` of a line is prose that nothing exempts. Only its own place counts, so a
     number elsewhere in the line excuses nothing."""
-    if any(m.start() <= column < m.end() for m in NOT_CLAIMS.finditer(text)):
+    free, atoms = _line(text)
+    if _holding(free, column):
         return False
-    around = [kind for _, a, b, kind, _ in T.classify(text) if a <= column < b]
-    return bool(around) and all(kind == "unclassified" for kind in around)
+    around = _holding(atoms, column)
+    return bool(around) and around[2] == "unclassified"
+
+
+def _holding(spans: list[tuple], column: int) -> tuple | None:
+    """Of sorted spans without overlaps the one that holds a place."""
+    i = bisect_right(spans, column, key=lambda x: x[0]) - 1
+    return spans[i] if i >= 0 and column < spans[i][1] else None
 
 
 def verdict(n: T.CodeNumber) -> str:
@@ -46,7 +60,7 @@ def verdict(n: T.CodeNumber) -> str:
         return "text" if not (names & R.FILE_HANDLING or ticks) and claims(n.line_text, n.column) else "ok"
     if names & R.DATA:
         return "data"
-    return "layout" if names & R.PARAMETERS or any(map(FUNCTIONS.search, names)) else "loose"
+    return "layout" if names & R.PARAMETERS or any(map(R.lays_out, names)) else "loose"
 
 
 def numbers(scripts: DataFrame) -> DataFrame:

@@ -126,11 +126,17 @@ def d7_band_anti(spark, sf_dir):
     return J.none_near(e.filter("event_type = 'error'"), e.filter("event_type = 'purchase'"), "user_id", "at", 3_600_000_000).select("event_id")
 
 
-@query("""SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 60)))""")
+#: Quotes and dashes folded, white space collapsed, lower case.
+FOLD_SQL = r"lower(trim(regexp_replace(translate(text, '‘’“”–—−', chr(39) || chr(39) || chr(34) || chr(34) || '---'), '\s+', ' ', 'g')))"
+
+
+@query(f"SELECT DISTINCT b.item_id, d.doc_id FROM (SELECT item_id, {FOLD_SQL} AS q FROM benchmark) b JOIN (SELECT doc_id, {FOLD_SQL} AS t FROM documents) d ON contains(d.t, b.q)")
 def d11_quote_in_source(spark, sf_dir):
-    quotes = t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("q"))
-    docs = t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(F.broadcast(quotes), F.col("t").contains(F.col("q"))).select("item_id", "doc_id").distinct()
+    """Whole passages, both sides folded, in whole documents."""
+    fold = lambda c: F.lower(X.normalise_text(F.col(c)))
+    quotes = t(spark, sf_dir, "benchmark").select("item_id", fold("text").alias("q"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", fold("text").alias("t"))
+    return J.quoted_in(docs, quotes, "t", "q").select("item_id", "doc_id").distinct()
 
 
 @query("SELECT l_orderkey FROM lineitem LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_size <= 40) p ON l_partkey = p_partkey GROUP BY l_orderkey HAVING bool_and(p_partkey IS NOT NULL)")
@@ -313,15 +319,9 @@ def i12_normalise_text(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.normalise_text(F.col("text")).alias("folded"))
 
 
-@query("SELECT doc_id, atom, CAST(CAST(replace(atom, ',', '') AS BIGINT) AS VARCHAR) AS number FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS atom FROM documents) a WHERE length(atom) <= 15")
-def i9_normalise_number(spark, sf_dir):
-    rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("atom"))
-    return rows.filter(F.length("atom") <= 15).withColumn("number", X.normalise_number(F.col("atom")))
-
-
 @query("""SELECT doc_id, atom, CASE WHEN length(atom) > 24 THEN atom WHEN CAST(atom AS DOUBLE) < 1e15 THEN CAST(TRY_CAST(atom AS BIGINT) AS VARCHAR)
           ELSE rtrim(rtrim(CAST(CAST(atom AS DOUBLE) AS VARCHAR), '0'), '.') END AS number FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS atom FROM documents) a""")
-def i9_normalise_number_whole(spark, sf_dir):
+def i9_normalise_number(spark, sf_dir):
     """All runs of digits, long ones too."""
     rows = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("atom"))
     return rows.withColumn("number", X.normalise_number(F.col("atom")))
@@ -359,18 +359,8 @@ def i31_props(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT conv_id, turn, position_rank FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id, turn) AS position_rank FROM conversations) x WHERE position_rank <= 100")
-def t1_findings_order(spark, sf_dir):
-    """The first hundred by severity, then place: a report's first page."""
-    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    first = t(spark, sf_dir, "conversations").orderBy(rank, "conv_id", "turn").limit(100).withColumn("r", rank)
-    from pyspark.sql import Window
-
-    return first.select("conv_id", "turn", F.row_number().over(Window.orderBy("r", "conv_id", "turn")).cast("long").alias("position_rank"))
-
-
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, conv_id, turn) AS position_rank FROM conversations")
-def t1_findings_order_whole(spark, sf_dir):
+def t1_findings_order(spark, sf_dir):
     """All by severity, then place."""
     rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
     rows = t(spark, sf_dir, "conversations").select("conv_id", "turn", rank.alias("r"))

@@ -199,8 +199,10 @@ def svg_text(data: bytes) -> str:
 
 
 def binary_text(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """``path, text, error`` of office documents and drawings."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).filter(F.col("length") <= MOST_ARCHIVE)
+    """``path, text, error`` of office documents and drawings. Files over the limit are rows with an error, unread."""
+    every = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    rows = every.filter(F.col("length") <= MOST_ARCHIVE)
+    large = every.filter(F.col("length") > MOST_ARCHIVE).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("UnsafeDocument: of "), F.col("length").cast("string"), F.lit(" bytes")).alias("error"))
 
     @F.pandas_udf("text string, error string")
     def read(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
@@ -212,7 +214,7 @@ def binary_text(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
         return pd.DataFrame([one(p, c) for p, c in zip(paths, contents, strict=True)], columns=["text", "error"])
 
-    return rows.select("path", read("path", "content").alias("r")).select("path", "r.*")
+    return rows.select("path", read("path", "content").alias("r")).select("path", "r.*").unionByName(large)
 
 
 def digests(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -20,13 +20,12 @@ PARTS = (
 
 
 def parts_of(text: str, terms: tuple[str, ...], rules: tuple, rendered: bool) -> tuple:
-    line = lambda at: text.count("\n", 0, at) + 1
-    heads = T.headings(text)
-    found, at, n = [], 0, 1
-    for atom, a, b, kind, rule in T.classify(text, rules, terms, rendered):
-        n, at = n + text.count("\n", at, a), a
-        found.append({"atom": atom, "start": a, "end": b, "line": n, "kind": kind, "rule": rule, "chain": list(T.chain_at(heads, a))})
-    bound = [dict(zip(("ns", "key", "raw", "start", "end", "well_formed"), x, strict=True)) | {"line": line(x[3])} for x in T.bindings(text)]
+    heads, judged, loose = T.headings(text), T.classify(text, rules, terms, rendered), T.bindings(text)
+    starts = [x[1] for x in judged]
+    around = zip(judged, T.line_numbers(text, starts), T.chains_at(heads, starts), strict=True)
+    found = [{"atom": atom, "start": a, "end": b, "line": n, "kind": kind, "rule": rule, "chain": list(chain)} for (atom, a, b, kind, rule), n, chain in around]
+    lines = T.line_numbers(text, [x[3] for x in loose])
+    bound = [dict(zip(("ns", "key", "raw", "start", "end", "well_formed"), x, strict=True)) | {"line": n} for x, n in zip(loose, lines, strict=True)]
     titles = [dict(zip(("start", "level", "title", "chain"), (*x[:3], list(x[3])), strict=True)) for x in heads]
     cited = [dict(zip(("citekey", "start", "narrative"), x, strict=True)) for x in T.citations(text)]
     blocks = [dict(zip(("start", "body_start", "body_end", "end", "info"), x, strict=True)) for x in T.fences(text)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 #: What an editor of the built document doesn't own: bindings and bracketed citations.
@@ -13,11 +13,17 @@ BREAK = re.compile(r"\n\s*\n")
 MARKS = re.compile(r"[*_`]")
 
 
+#: Fixed form of a file's part of an identifier: so many characters of its name, then so many digits of a digest.
+NAME_CHARS, DIGEST_CHARS = 12, 6
+
+
 def file_slug(path: str) -> str:
-    """Readable and unique for a path: part of its stem, then of the digest of the whole of it."""
-    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    readable = re.sub(r"[^A-Za-z0-9]+", "_", stem)[:12].strip("_")
-    return (readable or "f") + hashlib.sha256(path.encode("utf-8")).hexdigest()[:6]
+    """What stands for a file in identifiers: readable, and unique since the digest is of the whole path."""
+    name = path[path.rfind("/") + 1 :]
+    stem = name[: name.rfind(".")] if "." in name else name
+    runs = re.findall("[A-Za-z0-9]+|[^A-Za-z0-9]+", stem)
+    short = "".join(x if re.match("[A-Za-z0-9]", x) else "_" for x in runs)[:NAME_CHARS].strip("_")
+    return (short or "f") + hashlib.sha256(path.encode()).hexdigest()[:DIGEST_CHARS]
 
 
 def paragraphs(path: str, text: str, start: int = 0, prefix: str = "ct-p-") -> list[tuple[str, str, int]]:
@@ -42,47 +48,57 @@ def plain(text: str) -> str:
     return " ".join(MARKS.sub("", text).split())
 
 
-def shown_tokens(prose: Sequence[str], rendered: str) -> list[str] | None:
-    """What each owned part became in ``rendered``: that which lies between the pieces of prose around it."""
-    cuts, at = [], 0
-    for i, piece in enumerate(map(plain, prose)):
-        final = i == len(prose) - 1
-        if not piece and 0 < i and not final:
-            return None  # two owned parts side by side can't be told apart
-        found = rendered.find(piece, at) if piece else (len(rendered) if final else at)
-        if found < 0:
-            return None
-        cuts.append((found, at := found + len(piece)))
-    shown = [rendered[a:b].strip() for (_, a), (b, _) in zip(cuts, cuts[1:], strict=False)]
-    return shown if all(shown) else None
+def _fields(pieces: Sequence[str], text: str) -> list[str] | None:
+    """What stands between ``pieces`` where ``text`` is these in order with something in each gap; else ``None``."""
+    shape = r"\s*(\S.*?)\s*".join(re.escape(p).replace(r"\ ", r"\s+") for p in pieces)
+    m = re.fullmatch(shape, text, re.S)
+    return list(m.groups()) if m else None
 
 
 def realigned(source: str, rendered: str, returned: str) -> str | None:
     """``source`` with the wording of ``returned`` and its own bindings and citations; ``None`` where one of these
-    came back changed, or in another order. Stretches that nobody reworded keep their emphasis."""
-    owned, prose = OWNED.findall(source), OWNED.split(source)
+    came back changed, or in another order. Stretches that nobody reworded keep their emphasis.
+
+    The source without its own parts is a shape with gaps: laid over what was built it shows what each own part became,
+    and these, as a shape in turn, laid over what came back show the new wording between them.
+    """
+    owned = list(OWNED.finditer(source))
     if not owned:
         return returned.strip() or None
-    shown = shown_tokens(prose, rendered)
+    edges = [0, *(x for m in owned for x in m.span()), len(source)]
+    prose = [source[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    if any(not plain(p) for p in prose[1:-1]):
+        return None  # own parts side by side can't be told apart
+    shown = _fields([plain(p) for p in prose], plain(rendered))
     if shown is None:
         return None
-    fresh, at = [], 0
-    for token in shown:
-        head, hit, _ = returned[at:].partition(token)
-        if not hit:
-            return None
-        fresh.append(head)
-        at += len(head) + len(token)
-    fresh.append(returned[at:])
-    worded = [old if plain(old) == plain(new) else new for old, new in zip(prose, fresh, strict=True)]
-    return "".join(a + b for a, b in zip(worded, [*owned, ""], strict=True)).strip() or None
+    around = re.fullmatch("(.*?)" + "(.*?)".join(map(re.escape, shown)) + "(.*)", returned, re.S)
+    if around is None:
+        return None
+    out = []
+    for i, new in enumerate(around.groups()):
+        out.append(prose[i] if plain(prose[i]) == plain(new) else new)
+        out.append(owned[i][0] if i < len(owned) else "")
+    return "".join(out).strip() or None
 
 
 def moved(before: Sequence[str], after: Sequence[str]) -> list[tuple[str, int, int]]:
-    """Identifiers outside the backbone that both orders share, with their places among the shared ones."""
-    common = set(before) & set(after)
-    was, now = [x for x in before if x in common], [x for x in after if x in common]
-    blocks = difflib.SequenceMatcher(None, was, now, autojunk=False).get_matching_blocks()
-    still = {x for m in blocks for x in was[m.a : m.a + m.size]}
-    place = {x: i for i, x in enumerate(was)}
+    """Identifiers that came back elsewhere, with their places among those that both orders have.
+
+    What stays in order is the longest run of increasing old places; all else moved.
+    """
+    shared = set(before) & set(after)
+    place = {x: i for i, x in enumerate(x for x in before if x in shared)}
+    now = [x for x in after if x in shared]
+    ends: list[int] = []  # the smallest last place of a run of each length
+    at: list[int] = []  # where that run ends
+    previous = [-1] * len(now)
+    for i, x in enumerate(now):
+        n = bisect_left(ends, place[x])
+        previous[i] = at[n - 1] if n else -1
+        ends[n : n + 1], at[n : n + 1] = [place[x]], [i]
+    still, i = set(), at[-1] if at else -1
+    while i >= 0:
+        still.add(now[i])
+        i = previous[i]
     return [(x, place[x], i) for i, x in enumerate(now) if x not in still]
