@@ -83,8 +83,8 @@ def first_of(doc_id: str = "doc_id", hashed: str = "_text") -> Column:
     return F.min(F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col(hashed).alias("hash")))
 
 
-#: In joins on a key, keys with more than one in so many of all rows are handled apart; there are fewer than this.
-HOT = 1000
+#: In joins on a key, keys with more than one in HOT of all rows, and with more than LEAST rows, are handled apart.
+HOT, LEAST = 1000, 1000
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -92,10 +92,14 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> D
 
     ``total`` is the number of ``rows``. Keys with over a thousandth of them number fewer than HOT, so theirs are joined
     by a broadcast of that proven size and stay where they are; all others are joined by a shuffle of small groups.
+    ``one`` should be cut, since it is read first to see whether there are such keys.
     """
-    hot = one.filter(F.col(n) * HOT > total)
+    is_hot = (F.col(n) * HOT > total) & (F.col(n) > LEAST)
+    hot = one.filter(is_hot)
+    if hot.isEmpty():
+        return rows.join(one, key)
     common = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(F.col(n) * HOT <= total), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.filter(~is_hot), key)
     return common.unionByName(rest)
 
 

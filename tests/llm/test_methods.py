@@ -98,6 +98,7 @@ def test_joins_of_small_and_large_tables_agree(spark, monkeypatch):
     monkeypatch.setattr(host_quality, "MOST_BROADCAST", 0)
     monkeypatch.setattr(jaccard, "FEW", 0)
     monkeypatch.setattr(common, "HOT", 10**9)
+    monkeypatch.setattr(common, "LEAST", 0)
     assert {name: f(docs) for name, f in ALL.items()} == want
 
 
@@ -260,6 +261,7 @@ def test_op10_every_code_point_is_cut_as_by_the_library():
 
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "LEAST", 5)
     edges = [(0, i) for i in range(1, 300)] + [(300 + i, 301 + i) for i in range(20)] + [(310, 299)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {0} and len(got) == 321
