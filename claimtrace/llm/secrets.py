@@ -122,26 +122,25 @@ def terms(rules: tuple[Rule, ...]) -> list[tuple[str, bool]]:
     return sorted({(t, r.ignore_case) for r in rules for c in trigram_query(r) for t in c})
 
 
-def index_words(rules: tuple[Rule, ...], text: str = "text") -> Column:
-    """The index's entry of a text: an array of words of BITS bits, the i-th of which tells whether it has term i."""
+def index_words(rules: tuple[Rule, ...], text: str = "text") -> list[Column]:
+    """The index's entry of a text: words of BITS bits, the i-th of which tells whether it has term i."""
     body, low = whole(text), F.lower(whole(text))
     has = [(low if fold else body).contains(t) for t, fold in terms(rules)]
-    words = [has[i : i + BITS] for i in range(0, len(has), BITS)]
     bit = lambda x, i: F.when(x, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), (bit(x, i) for i, x in enumerate(w))) for w in words)).cast("array<long>")
+    return [reduce(lambda a, b: a.bitwiseOR(b), (bit(x, i) for i, x in enumerate(has[n : n + BITS]))) for n in range(0, len(has), BITS)]
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> DataFrame:
     """The inverted index as lists: ``term, doc_id``, which texts have which trigram."""
     (words,) = unused(docs, "_words")
-    listed = docs.withColumn(words, index_words(rules, text)).select("doc_id", F.posexplode(words).alias("_w", "_bits"))
+    listed = docs.withColumn(words, F.array(*index_words(rules, text)).cast("array<long>")).select("doc_id", F.posexplode(words).alias("_w", "_bits"))
     each = F.array(*(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.col("_w") * BITS + i) for i in range(BITS)))
     listed = listed.select("doc_id", F.explode(F.array_compact(each)).alias("_i"))
     names = F.array(*(F.lit(t) for t, _ in terms(rules))).cast("array<string>")
     return listed.select(F.get(names, F.col("_i")).alias("term"), "doc_id")
 
 
-def fulfils(rule: Rule, rules: tuple[Rule, ...], words: Column) -> Column:
+def fulfils(rule: Rule, rules: tuple[Rule, ...], words: list[Column]) -> Column:
     """Whether a text whose index entry is ``words`` is a candidate of ``rule``: in all the lists of one of its clauses."""
     number = {t: i for i, t in enumerate(terms(rules))}
     clauses = []
@@ -150,7 +149,7 @@ def fulfils(rule: Rule, rules: tuple[Rule, ...], words: Column) -> Column:
         for t in c:
             i = number[t, rule.ignore_case]
             need[i // BITS] = need.get(i // BITS, 0) | 1 << i % BITS
-        clauses.append(reduce(lambda a, b: a & b, (F.get(words, F.lit(w)).bitwiseAND(F.lit(n).cast("long")) == F.lit(n) for w, n in need.items())))
+        clauses.append(reduce(lambda a, b: a & b, (words[w].bitwiseAND(F.lit(n).cast("long")) == F.lit(n) for w, n in need.items())))
     return reduce(lambda a, b: a | b, clauses) if clauses else F.lit(True)
 
 
@@ -211,13 +210,14 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
     length. An input column named ``secret_spans`` is replaced; an empty table gives an empty one.
     """
     docs = docs.drop("secret_spans")
-    words, found = unused(docs, "_words", "_found")
+    entry = index_words(rules, text)
+    words = unused(docs, *(f"_word{i}" for i in range(len(entry))))
     body, each = whole(text), []
     for k, r in enumerate(rules):
-        searched = fulfils(r, rules, F.col(words)) if trigram_query(r) else F.lit(True)
+        searched = fulfils(r, rules, [F.col(w) for w in words]) if trigram_query(r) else F.lit(True)
         each.append(F.when(searched & body.rlike(r.java), _spans(r, k, body)))
-    rows = docs.withColumn(words, index_words(rules, text)).withColumn(found, F.array_compact(F.array(*each)))
-    return rows.withColumn("secret_spans", F.array_sort(F.flatten(found))).drop(words, found)
+    rows = docs.withColumns(dict(zip(words, entry, strict=True)))
+    return rows.withColumn("secret_spans", F.array_sort(F.flatten(F.array_compact(F.array(*each))))).drop(*words)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
