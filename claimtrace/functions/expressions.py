@@ -143,3 +143,17 @@ def is_thin(statement: Column, least: int = 8) -> Column:
 def tier(origin: Column, has_digit: Column, label: Column, attested: Column) -> Column:
     """How a bound value is traced: defect, traced, attested."""
     return F.when(~has_digit & ~label, "defect").when(origin == "results", "traced").when(attested, "attested").otherwise("traced")
+
+
+def xml_escaped(text: Column) -> Column:
+    """Text as it may stand in an attribute of a tooltip."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def console_folded(text: Column) -> Column:
+    """Text for consoles that have plain punctuation only."""
+    for a, b in (("—", "--"), ("–", "-"), ("…", "...")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text

@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from claimtrace import gate_queries  # noqa: F401  (registers its queries)
 from claimtrace import queries as Q
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
