@@ -148,7 +148,8 @@ def quoted_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> Data
     if short.count() <= MOST_BROADCAST:
         return found.unionByName(docs.join(F.broadcast(short), F.col(text).contains(F.col(quote))))
     pairs = contained(docs.select(F.col(text).alias("t")).distinct(), short.select(F.col(quote).alias("name")).distinct())
-    return found.unionByName(docs.join(pairs, F.col(text) == F.col("t")).join(short, F.col(quote) == F.col("name")).drop("t", "name"))
+    pairs = pairs.select(F.col("t").alias("_text"), F.col("name").alias("_name"))
+    return found.unionByName(docs.join(pairs, F.col(text) == F.col("_text")).join(short, F.col(quote) == F.col("_name")).drop("_text", "_name"))
 
 
 def matched_forms(atoms: DataFrame, values: DataFrame, text: str, display: str, ref: str) -> DataFrame:

@@ -368,15 +368,21 @@ def t1_findings_order(spark, sf_dir):
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown made from each document's columns, so that what the analyser has to find is known in SQL."""
+    """Each document's whole text as a section of a paper, with markup before and behind it, so that every place that
+    the analyser reports depends on the text."""
     d = t(spark, sf_dir, "documents")
-    text = F.format_string(
-        "# %s\nWe bound {{results.n_chars}} and {{ bad }} to %d words [@doc%d].\n## Methods\nSee Table %d.\n```python\nx = %d\n```\nplt.plot(1.5) <!-- 77 -->\n",
-        "lang", "n_chars", "doc_id", (F.col("doc_id") % 9 + 1), "doc_id",
+    text = F.concat(
+        F.lit("# "), "lang", F.lit("\n"), F.coalesce("text", F.lit("")),
+        F.format_string("\n\nWe bound {{results.n_chars}} and {{ bad }} [@doc%d].\n\n## Methods\n\nSee Table %d.\n```python\nx = %d\n```\nplt.plot(1.5) <!-- 77 -->\n", "doc_id", (F.col("doc_id") % 9 + 1), "doc_id"),
     )
     return d.select("doc_id", "lang", text.alias("text"))
 
 
+#: Of each paper the length and the line ends of what stands before its bindings.
+BEFORE_SQL = """b AS (SELECT doc_id, lang, CAST(length(lang) + 3 + length(coalesce(text, '')) + 2 AS INTEGER) AS n,
+           CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 4 AS INTEGER) AS line FROM documents)"""
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimtrace.text.frames import analysed_documents
 
@@ -389,55 +395,42 @@ def _rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     return rows(_analysis(spark, sf_dir), part, "doc_id")
 
 
-@query("SELECT doc_id, 'python' AS info, CAST(length('x = ' || doc_id) + 1 AS INTEGER) AS n_body FROM documents")
+@query(f"""WITH {BEFORE_SQL} SELECT doc_id, 'python' AS info, CAST(n + 49 + length(CAST(doc_id AS VARCHAR)) + 3 + 12 + 13 AS INTEGER) AS start, CAST(length('x = ' || doc_id) + 1 AS INTEGER) AS n_body FROM b""")
 def b4_fences(spark, sf_dir):
-    return _rows(spark, sf_dir, "fences").select("doc_id", "info", (F.col("body_end") - F.col("body_start")).alias("n_body"))
+    return _rows(spark, sf_dir, "fences").select("doc_id", "info", "start", (F.col("body_end") - F.col("body_start")).alias("n_body"))
 
 
-@query("""SELECT doc_id, 'results' AS ns, 'n_chars' AS key, TRUE AS well_formed, 2 AS line FROM documents
-          UNION ALL SELECT doc_id, '', '', FALSE, 2 FROM documents""")
+@query(f"""WITH {BEFORE_SQL} SELECT doc_id, 'results' AS ns, 'n_chars' AS key, TRUE AS well_formed, line, n + 9 AS start FROM b
+          UNION ALL SELECT doc_id, '', '', FALSE, line, n + 33 FROM b""")
 def b7_bindings(spark, sf_dir):
-    return _rows(spark, sf_dir, "bindings").select("doc_id", "ns", "key", "well_formed", "line")
+    return _rows(spark, sf_dir, "bindings").select("doc_id", "ns", "key", "well_formed", "line", "start")
 
 
-@query("SELECT doc_id, 1 AS level, lang AS title, lang AS chain FROM documents UNION ALL SELECT doc_id, 2, 'Methods', lang || ' > Methods' FROM documents")
+@query(f"""WITH {BEFORE_SQL} SELECT doc_id, 1 AS level, lang AS title, lang AS chain, 0 AS start FROM b
+           UNION ALL SELECT doc_id, 2, 'Methods', lang || ' > Methods', CAST(n + 49 + length(CAST(doc_id AS VARCHAR)) + 3 AS INTEGER) FROM b""")
 def b12_headings(spark, sf_dir):
-    return _rows(spark, sf_dir, "headings").select("doc_id", "level", "title", F.array_join("chain", " > ").alias("chain"))
+    return _rows(spark, sf_dir, "headings").select("doc_id", "level", "title", F.array_join("chain", " > ").alias("chain"), "start")
 
 
-@query("SELECT doc_id, 'doc' || doc_id AS citekey, FALSE AS narrative FROM documents")
+@query(f"WITH {BEFORE_SQL} SELECT doc_id, 'doc' || doc_id AS citekey, FALSE AS narrative, n + 44 AS start FROM b")
 def b16_citations(spark, sf_dir):
-    return _rows(spark, sf_dir, "citations").select("doc_id", "citekey", "narrative")
+    return _rows(spark, sf_dir, "citations").select("doc_id", "citekey", "narrative", "start")
 
 
-@query("""SELECT doc_id, CAST(n_chars AS VARCHAR) AS atom, 'unclassified' AS kind, '' AS rule, lang AS chain FROM documents
-          UNION ALL SELECT doc_id, CAST(doc_id % 9 + 1 AS VARCHAR), 'structural', 'cross-reference', lang || ' > Methods' FROM documents
-          UNION ALL SELECT doc_id, 'plt.plot(1.5', 'unclassified', '', lang || ' > Methods' FROM documents""")
-def c8_classified_atoms(spark, sf_dir):
-    """Atoms of the masked text with verdict, rule, and the chain of headings above them."""
-    return _rows(spark, sf_dir, "atoms").select("doc_id", "atom", "kind", "rule", F.array_join("chain", " > ").alias("chain"))
+LEAD_SQL, TRAIL_SQL = r"""\(\[\{<"'“‘*_|~≈=,;:.!?/\\–—-""", r"""\)\]\}>"'”’*_|,;:.!?/\\–—-"""
 
 
-@query("SELECT kind, rule, count(*) AS n FROM (SELECT unnest(['unclassified', 'structural', 'unclassified']) AS kind, unnest(['', 'cross-reference', '']) AS rule FROM documents) x GROUP BY kind, rule")
-def e2_exemptions(spark, sf_dir):
-    return _rows(spark, sf_dir, "atoms").groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT 'G2' AS gate, code, severity, count(*) AS n FROM (SELECT unnest(['unclassified-number', 'unclassified-number', 'malformed-placeholder', 'unresolved-binding']) AS code, 'fail' AS severity FROM documents) x
-          GROUP BY code, severity UNION ALL SELECT 'G2', 'unquoted-result', 'fail', 1""")
-def g2_numbers_gate(spark, sf_dir):
-    """The numbers gate over all papers, against a namespace in which their binding is missing and another value is unused."""
-    from claimtrace.plans import gates
-    from claimtrace.schemas import VALUES
-
-    value = spark.createDataFrame([("results.other", "results", "other", "results", "1", 1.0, "BIGINT", "1", None, None, True, False, None, None, None, None, "a.json")], VALUES)
-    analysis = _analysis(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
-    return gates.numbers(analysis, value).groupBy("gate", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '(?i)\bhttps?://[^\s)>\]]+', ' ', 'g'), '[^\s]*[0-9][^\s]*')) AS word FROM documents),
+            x AS (SELECT doc_id, regexp_replace(regexp_extract(word, '^[{LEAD_SQL.replace("'", "''")}]*?([-–.−]?[0-9].*|[^{LEAD_SQL.replace("'", "''")}].*)$', 1), '[{TRAIL_SQL.replace("'", "''")}]+$', '') AS atom FROM w)
+            SELECT doc_id, atom, count(*) AS n FROM x WHERE regexp_matches(atom, '[0-9]') GROUP BY doc_id, atom""")
+def b5_atoms(spark, sf_dir):
+    """Atoms of the documents' own texts: masked, cut at white space, trimmed of marks."""
+    return _whole_rows(spark, sf_dir, "atoms").groupBy("doc_id", "atom").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, 'x' AS names, CAST(doc_id AS VARCHAR) AS number, FALSE AS in_string FROM documents")
 def b17_code_numbers(spark, sf_dir):
-    """Numbers in fenced code, with the names that they are given to."""
+    """Numbers in fenced code behind whole texts, with the names that they are given to."""
     from claimtrace.text.analyze import code_numbers
 
     @F.pandas_udf("array<struct<number:string,line:int,in_string:boolean,names:string>>")
@@ -496,36 +489,35 @@ def i16_thin_statements(spark, sf_dir):
     return rows.select(F.lit("any").alias("scope"), "thin")
 
 
-@query("""WITH d AS (SELECT doc_id, lang, 'd' || doc_id || '.md' AS path FROM documents),
-          s AS (SELECT doc_id, lang, 'd' || doc_id || substr(sha256(path), 1, 6) AS slug FROM d)
-          SELECT doc_id, 'ct-p-' || slug || '-0' AS id, 'First ' || doc_id || '.' AS source, 0 AS start FROM s
-          UNION ALL SELECT doc_id, 'ct-p-' || slug || '-6', 'Last ' || lang || '.', CAST(length('First ' || doc_id || '.') + length(lang) + 20 AS INTEGER) FROM s""")
+@query(r"""WITH d AS (SELECT doc_id, 'd' || doc_id || '.md' AS path, 'First ' || doc_id || '.' || chr(10) || chr(10) || '# ' || lang || chr(10) || chr(10) || '{{table.t1}}' || chr(10) || chr(10) || coalesce(text, '') AS body FROM documents),
+           u AS (SELECT doc_id, path, unnest(string_split_regex(body, '\n\s*\n')) AS block, generate_subscripts(string_split_regex(body, '\n\s*\n'), 1) AS i FROM d)
+           SELECT doc_id, 'ct-p-d' || doc_id || substr(sha256(path), 1, 6) || '-' || CAST((i - 1) * 2 AS VARCHAR) AS id, regexp_replace(regexp_replace(block, '^\s+', ''), '\s+$', '') AS source FROM u
+           WHERE regexp_matches(block, '\S') AND NOT regexp_matches(block, '^\s*#') AND NOT regexp_matches(block, '^\s*\{\{[^}]*\}\}\s*$')""")
 def b19_paragraphs(spark, sf_dir):
-    """Identifiers of paragraphs; headings and lone placeholders count without having one."""
+    """Identifiers of the paragraphs of whole texts; headings and lone placeholders count without having one."""
     from claimtrace.plans.roundtrip import paragraph_rows
 
     d = t(spark, sf_dir, "documents")
-    text = F.format_string("First %d.\n\n# %s\n\n{{table.t1}}\n\nLast %s.\n", "doc_id", "lang", "lang")
+    text = F.concat(F.format_string("First %d.\n\n# %s\n\n{{table.t1}}\n\n", "doc_id", "lang"), F.coalesce("text", F.lit("")))
     papers = d.select(F.format_string("d%d.md", "doc_id").alias("path"), text.alias("text"))
-    return paragraph_rows(papers).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "id", "source", "start")
+    return paragraph_rows(papers).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "id", "source")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'merged' WHEN 2 THEN 'refused' ELSE 'absent' END AS state,
-          CASE doc_id % 4 WHEN 1 THEN 'In ' || lang || ' we now saw {{results.n}} texts [@a].' END AS rebuilt FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[*_`]', '', 'g'), '\s+', ' ', 'g')) AS body FROM documents)
+          SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'merged' WHEN 2 THEN 'refused' ELSE 'absent' END AS state,
+          CASE doc_id % 4 WHEN 1 THEN 'In ' || body || ' we now saw {{results.n}} texts [@a].' END AS rebuilt FROM d""")
 def d36_round_trip(spark, sf_dir):
-    """New wording goes into the source with the source's bindings; reworded stretches lose their emphasis, and a changed
-    citation is refused."""
+    """New wording in whole texts goes into the source with the source's bindings; reworded stretches lose their
+    emphasis, and a changed citation is refused."""
     from claimtrace.plans.roundtrip import merged
 
-    d = t(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
-    known = d.select("doc_id", "id", F.format_string("**In** %s we saw {{results.n}} texts [@a].", "lang").alias("source"))
-    built = d.select("id", F.format_string("In %s we saw %d texts (A 1).", "lang", "n_chars").alias("text"))
-    words = F.format_string("In %s we now saw %d texts (A 1).", "lang", "n_chars")
-    wrong = F.format_string("In %s we saw %d texts (B 1).", "lang", "n_chars")
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[*_`]", ""), r"\s+", " "))
+    d = t(spark, sf_dir, "documents").select("doc_id", "n_chars", body.alias("body"), F.col("doc_id").cast("string").alias("id"))
+    known = d.select("doc_id", "id", F.concat(F.lit("**In** "), "body", F.lit(" we saw {{results.n}} texts [@a].")).alias("source"))
+    said = lambda words, cite: F.concat(F.lit("In "), "body", F.format_string(f" we {words} %d texts ({cite} 1).", "n_chars"))
     kind = F.col("doc_id") % 4
-    same = F.format_string("In %s we saw %d texts (A 1).", "lang", "n_chars")
-    back = d.filter(kind != 3).select("id", F.when(kind == 1, words).when(kind == 2, wrong).otherwise(same).alias("text"))
-    return merged(known, built, back).select("doc_id", "state", "rebuilt")
+    back = d.filter(kind != 3).select("id", F.when(kind == 1, said("now saw", "A")).when(kind == 2, said("saw", "B")).otherwise(said("saw", "A")).alias("text"))
+    return merged(known, d.select("id", said("saw", "A").alias("text")), back).select("doc_id", "state", "rebuilt")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc, CAST(o_orderkey AS VARCHAR) || '-1' AS id, 0 AS was, 3 AS now FROM orders WHERE o_orderkey % 2 = 0""")
@@ -553,13 +545,15 @@ def f17_marks(spark, sf_dir):
     return numbered(disjoint(spans)).select("path", "start", F.col("end").alias("stop"), "anchor")
 
 
-@query("""SELECT doc_id, 'hardcoded' AS verdict, CAST(doc_id AS VARCHAR) AS atom, 2 AS line FROM documents UNION ALL SELECT doc_id, 'layout', CAST(n_chars AS VARCHAR), 3 FROM documents
-          UNION ALL SELECT doc_id, 'text', '3.84', 4 FROM documents UNION ALL SELECT doc_id, 'ok', '1', 5 FROM documents""")
+@query("""WITH d AS (SELECT doc_id, n_chars, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2 AS INTEGER) AS line FROM documents)
+          SELECT doc_id, 'hardcoded' AS verdict, CAST(doc_id AS VARCHAR) AS atom, line FROM d UNION ALL SELECT doc_id, 'layout', CAST(n_chars AS VARCHAR), line + 1 FROM d
+          UNION ALL SELECT doc_id, 'text', '3.84', line + 2 FROM d UNION ALL SELECT doc_id, 'ok', '1', line + 3 FROM d""")
 def c9_script_numbers(spark, sf_dir):
-    """Numbers of figure scripts by what they are there for."""
+    """Numbers of figure scripts by what they are there for; whole texts stand in comments, whose numbers don't count."""
     from claimtrace.plans.scripts import numbers
 
-    code = F.format_string('# 77\nx = DataFrame([%d])\nplot(width=%d)\nax.set_title("Ratio 3.84 overall")\nsavefig("fig1.png")\n', "doc_id", "n_chars")
+    comment = F.concat(F.lit("# "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# ")))
+    code = F.concat(comment, F.format_string('\nx = DataFrame([%d])\nplot(width=%d)\nax.set_title("Ratio 3.84 overall")\nsavefig("fig1.png")\n', "doc_id", "n_chars"))
     found = numbers(t(spark, sf_dir, "documents").select(F.format_string("%d.py", "doc_id").alias("path"), code.alias("text")))
     verdict = F.when(F.col("verdict") == "data", "hardcoded").otherwise(F.col("verdict"))
     return found.select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), verdict.alias("verdict"), "atom", "line")
@@ -612,17 +606,17 @@ def b16_citations_whole(spark, sf_dir):
 
 
 @query()
-def c8_classified_atoms_whole(spark, sf_dir):
+def c8_classified_atoms(spark, sf_dir):
     return _whole_rows(spark, sf_dir, "atoms").select("doc_id", "atom", "kind", "rule", F.array_join("chain", " > ").alias("chain"))
 
 
 @query()
-def e2_exemptions_whole(spark, sf_dir):
+def e2_exemptions(spark, sf_dir):
     return _whole_rows(spark, sf_dir, "atoms").groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
-def g2_numbers_gate_whole(spark, sf_dir):
+def g2_numbers_gate(spark, sf_dir):
     """The numbers gate over the documents, against a namespace without values."""
     from claimtrace.plans import gates
     from claimtrace.schemas import VALUES
