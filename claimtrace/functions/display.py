@@ -102,3 +102,17 @@ def repr_number(text: str) -> str:
 def twelve_digits(value: float) -> str:
     """The key under which equal quantities meet: 12 significant digits."""
     return f"{value:.12g}"
+
+
+#: Fixed forms of names and periods that may have digits: years, ranges of years, and a word with a number behind it.
+NAMED = re.compile(r"\s*(?:(?:19|20)\d{2}(?:\s*[-–—/]\s*(?:(?:19|20)?\d{2}))?|[A-Za-z][\w-]*[ -]?v?\d+(?:\.\d+)*|\d{4}-\d{2}(?:-\d{2})?|Q[1-4] (?:19|20)\d{2})\s*")
+
+
+def loose_in_text(value: str, label: bool = False) -> list[str]:
+    """The numbers in a text value that nothing explains; none in labels, names and periods. Such a value can't be
+    emitted, since no gate could trace them."""
+    from claimtrace.text.analyze import classify
+
+    if label or not any(c.isdigit() for c in value) or NAMED.fullmatch(value):
+        return []
+    return [atom for atom, _, _, kind, _ in classify(value) if kind == "unclassified"]

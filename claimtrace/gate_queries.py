@@ -355,6 +355,18 @@ def g13_revision(spark, sf_dir):
     return G.revision(points, s.select("path", F.sha2(F.lit("old"), 256).alias("sha256")), now).select("code", "message", "path")
 
 
+@query("""SELECT 'o' || o_orderkey || ': p' || p_partkey || CASE WHEN p_size > 40 THEN ' is gone' ELSE ' is unchanged' END AS message FROM orders JOIN part ON o_custkey = p_partkey
+          WHERE o_orderstatus = 'F' AND p_size > 20 AND (p_size > 40 OR p_type = 'ECONOMY')""")
+def d31_anchored_points(spark, sf_dir):
+    """Points attached to paragraphs that are as they were, or gone."""
+    changed = F.array(F.struct(F.when(F.col("o_orderstatus") == "F", "file").otherwise("results").alias("kind"), F.lit("m").alias("name")))
+    points = t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("paragraph"), changed.alias("changed"))
+    part = t(spark, sf_dir, "part").withColumn("paragraph", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    then = part.filter("p_size > 20").select("paragraph", F.sha2("p_name", 256).alias("sha256"))
+    now = part.filter("p_size <= 40").select("paragraph", F.sha2(F.when(F.col("p_type") == "ECONOMY", F.col("p_name")).otherwise("other"), 256).alias("sha256"))
+    return G.anchored(points, then, now).select("message")
+
+
 @query("""SELECT CASE WHEN b.p_partkey IS NULL THEN 'rerun-missing-value' WHEN a.p_partkey IS NULL THEN 'rerun-extra-value' ELSE 'rerun-differs' END AS code, CASE WHEN a.p_partkey IS NULL THEN 'warn' ELSE 'fail' END AS severity, coalesce(a.p_partkey, b.p_partkey) AS message
           FROM (SELECT * FROM part WHERE p_type <> 'ECONOMY') a FULL OUTER JOIN (SELECT * FROM part WHERE p_size > 5) b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_retailprice > 1500""")
 def verify_rerun(spark, sf_dir):

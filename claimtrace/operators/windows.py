@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import cut
+from claimtrace.session import cut
 
 
 def capped(df: DataFrame, keys: list[str], order: list[Column | str], most: int) -> DataFrame:

@@ -318,6 +318,9 @@ def reviews(panel: DataFrame, records: DataFrame, files: DataFrame, severity: st
     read = records.select("round", "reviewer", F.explode("file_sha256").alias("path", "_then"))
     stale = read.join(files.select("path", F.col("sha256").alias("_now")), "path", "left").filter("not (_then <=> _now)")
     rounds = records.select("round").distinct()
+    # a record without a list of files read everything, so its round has nothing unread
+    whole = records.filter(F.coalesce(F.size("file_sha256"), F.lit(0)) <= 0).select("round").distinct()
+    rounds = rounds.join(whole, "round", "left_anti")
     unread = files.select("path").crossJoin(F.broadcast(rounds)).join(read.select("round", "path"), ["round", "path"], "left_anti")
     opened = records.select("round", "reviewer", F.inline("findings")).filter("severity = 'major' and resolution is null")
     who = F.concat_ws(" ", F.col("round").cast("string"), "reviewer")
@@ -344,19 +347,34 @@ def plan(sections: DataFrame) -> DataFrame:
     )
 
 
-def revision(points: DataFrame, submitted: DataFrame, current: DataFrame, severity: str = "warn") -> DataFrame:
+def revision(points: DataFrame, submitted: DataFrame, current: DataFrame, severity: str = "warn", known: DataFrame | None = None) -> DataFrame:
     """Points without answer, answers that claim nothing, and claimed changes of files (``path, sha256``) that are
-    as they were submitted. ``points``: id, response, rebutted, changed array<struct<kind, name>>."""
+    as they were submitted, or of which nobody knows how they were. Of other kinds (results, figure, analysis) ``known``
+    (``kind, name``) tells what there is. ``points``: id, response, rebutted, changed array<struct<kind, name>>."""
     said = F.coalesce(F.length(F.trim("response")), F.lit(0)) > 0
-    claims = points.select("id", F.inline("changed")).filter("kind = 'file'").withColumnRenamed("name", "path")
+    each = points.select("id", F.inline("changed"))
+    claims = each.filter("kind = 'file'").withColumnRenamed("name", "path")
     then, now = submitted.select("path", F.col("sha256").alias("_then")), current.select("path", F.col("sha256").alias("_now"))
-    idle = claims.join(then, "path", "left").join(now, "path", "left").filter("_now is null or _then <=> _now")
+    idle = claims.join(then, "path", "left").join(now, "path", "left").filter("_now is null or _then is null or _then <=> _now")
     none = F.coalesce(F.size("changed"), F.lit(0)) <= 0
-    return together(
+    out = [
         finding(points.filter(~said), "G13", "point-unanswered", severity, F.col("id")),
         finding(points.filter(said & none & ~F.coalesce("rebutted", F.lit(False))), "G13", "response-claims-nothing", severity, F.col("id")),
         finding(idle, "G13", "claimed-change-did-not-happen", severity, F.col("id"), "path"),
-    )
+    ]
+    if known is not None:
+        out.append(finding(J.missing(each.filter("kind <> 'file'"), known, "kind", "name"), "G13", "claimed-change-did-not-happen", severity, F.col("id"), "name"))
+    return together(*out)
+
+
+def anchored(points: DataFrame, submitted: DataFrame, current: DataFrame, severity: str = "warn") -> DataFrame:
+    """Points that are attached to a paragraph and claim a revision, where that paragraph is as it was submitted or
+    is gone. ``points``: id, paragraph, changed; paragraphs: ``paragraph, sha256``. Unknown anchors say nothing."""
+    claims = points.filter(F.exists("changed", lambda c: c["kind"] == "file")).select("id", "paragraph")
+    then, now = submitted.select("paragraph", F.col("sha256").alias("_then")), current.select("paragraph", F.col("sha256").alias("_now"))
+    both = claims.join(then, "paragraph").join(now, "paragraph", "left")
+    said = F.when(F.col("_now").isNull(), F.concat(F.col("paragraph"), F.lit(" is gone"))).otherwise(F.concat(F.col("paragraph"), F.lit(" is unchanged")))
+    return finding(both.filter("_now is null or _then = _now"), "G13", "claimed-change-did-not-happen", severity, F.concat_ws(": ", "id", said))
 
 
 def verify(before: DataFrame, after: DataFrame) -> DataFrame:

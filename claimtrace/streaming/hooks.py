@@ -38,3 +38,16 @@ def loose_numbers(saved: DataFrame) -> DataFrame:
 def after_edit(saved: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Checks each batch of saved documents; ``handle`` gets what is loose."""
     return saved.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: handle(loose_numbers(batch))).start()
+
+
+def before_submission(commands: DataFrame, check: Callable[[], DataFrame], handle: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """A stream of commands (``command``): for each batch in which one looks like a submission, all gates run once, and
+    ``handle`` gets the failures beside the commands, which these deny."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        asked = rows.filter(is_submission(F.col("command")))
+        if not asked.isEmpty():
+            failed = check().filter("severity = 'fail'").agg(F.count(F.lit(1)).alias("n_failures"))
+            handle(asked.crossJoin(F.broadcast(failed)).withColumn("decision", F.when(F.col("n_failures") > 0, "deny").otherwise("allow")))
+
+    return commands.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).start()
