@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimtrace.functions.display import repr_number
-from claimtrace.functions.expressions import strip_html, without_opaque
+from claimtrace.functions.expressions import normalise_text, strip_html, without_opaque
 from claimtrace.schemas import FRAGMENT
 
 #: Archives and parts that are larger, or that unpack by more, aren't read.
@@ -248,3 +248,18 @@ def findings_json(findings: DataFrame) -> str:
     rank = F.expr("array_position(array('fail','warn','info'), severity)")
     rows = findings.orderBy(rank, "path", F.coalesce("line", F.lit(0)), "code", "message").collect()
     return json.dumps([r.asDict() for r in rows], indent=2)
+
+
+def csv_rows(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A table with a header line; all columns are text, since what looks like a number may be a code."""
+    return spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+
+
+def source_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``source_file, text, error`` of stored sources: text as it is, pages without their markup, both folded; of PDF files
+    an error, since no reader of theirs is at hand."""
+    plain = texts(spark, folder, "*.{txt,md,csv,tsv,json,yaml,yml}").select(F.col("path").alias("source_file"), normalise_text(F.col("text")).alias("text"))
+    pages = texts(spark, folder, "*.{html,htm}").select(F.col("path").alias("source_file"), normalise_text(strip_html(F.col("text"))).alias("text"))
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder)
+    unread = names.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.lit(None).cast("string").alias("text"), F.lit("source-unreadable").alias("error"))
+    return plain.unionByName(pages).withColumn("error", F.lit(None).cast("string")).unionByName(unread)

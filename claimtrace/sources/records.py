@@ -139,3 +139,32 @@ def unproven_rasters(digests: DataFrame, manifests: DataFrame) -> DataFrame:
     state = F.when(F.col("_v").isNull(), "no vector").when(F.col("_all").isNull(), "no manifest").when(~F.col("_all"), "differs").otherwise("proven")
     both = raster.join(vector.select("dir", "stem", F.lit(True).alias("_v")).distinct(), ["dir", "stem"], "left").join(proven, ["dir", "stem"], "left")
     return both.select("path", state.alias("state"))
+
+
+def cited_keys(cited: DataFrame) -> DataFrame:
+    """The keys that a bibliography has to hold: each cited one once, in order."""
+    return cited.select("citekey").distinct().orderBy("citekey")
+
+
+#: What a new project starts with.
+SCAFFOLD = {
+    "paper.yaml": "title: ''\nstage: design\n",
+    "authors.yaml": "authors: []\naffiliations: []\n",
+    "manuscript/main.md": "# Introduction\n\n# Methods\n\n# Results\n",
+    "literature/ledger.yaml": "entries: []\n",
+    "results/.keep": "",
+    "analysis/.keep": "",
+    "figures/.keep": "",
+}
+
+
+def scaffold(folder: Path) -> list[Path]:
+    """A new project's files; those that are there already stay as they are. Returns what was written."""
+    written = []
+    for name, text in SCAFFOLD.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if not path.exists():
+            path.write_text(text, encoding="utf-8")
+            written.append(path)
+    return written

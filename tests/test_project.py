@@ -197,3 +197,26 @@ def test_the_analyser_grows_with_the_text(unit):
         parts_of(text, T.TERMS, T.RULES, False)
         took.append(time.perf_counter() - began)
     assert took[1] < 12 * took[0] + 0.3
+
+
+def test_sources_and_scaffold(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.txt").write_text("one “two”\n three")
+    (src / "b.html").write_text("<p>x<script>7</script> y</p>")
+    (src / "c.pdf").write_bytes(b"%PDF")
+    got = {r["source_file"]: (r["text"], r["error"]) for r in S.source_texts(spark, str(src)).collect()}
+    assert got == {"a.txt": ('one "two" three', None), "b.html": ("x y", None), "c.pdf": (None, "source-unreadable")}
+    (src / "t.csv").write_text('a,b\n1,"x, ""y"""\n')
+    assert [tuple(r) for r in S.csv_rows(spark, str(src / "t.csv")).collect()] == [("1", 'x, "y"')]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/paper.yaml").write_text("title: mine\n")
+    first = R.scaffold(tmp_path / "p")
+    assert (tmp_path / "p/paper.yaml").read_text() == "title: mine\n" and len(first) == len(R.SCAFFOLD) - 1 and R.scaffold(tmp_path / "p") == []
+    assert P.load(tmp_path / "p").paper["title"] == "mine"
+
+
+def test_published_checklists():
+    from claimtrace.rules.recipes import CHECKLISTS, checklist
+
+    assert len({c.name for c in CHECKLISTS}) == 13 and checklist("strobe").recipe.carry_id and checklist("ARRIVE-2.0").split == 121
