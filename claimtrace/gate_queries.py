@@ -261,7 +261,7 @@ def g7_literature(spark, sf_dir):
     """Ledger entries against whole stored sources, and who attests to them."""
     d = t(spark, sf_dir, "documents")
     entries = d.select(
-        F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), (F.col("doc_id") + 1).cast("string").alias("source_file"), F.upper(F.substring("text", 3, 60)).alias("quote"), F.lit("4").alias("display"),
+        F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), (F.col("doc_id") + 1).cast("string").alias("source_file"), X.upper_each(F.substring("text", 3, 60)).alias("quote"), F.lit("4").alias("display"),
         F.when(F.col("lang") == "es", "abstract-only").otherwise("full-text").alias("depth"), F.when(F.col("lang") == "de", "A Person").when(F.col("lang") == "fr", "ChatGPT").alias("attested_by"),
         F.when(F.col("lang") == "de", "read it").otherwise("I have read the whole of the report and this is its value").alias("statement"),
     )

@@ -127,3 +127,13 @@ def test_suggestions(spark):
     known = spark.createDataFrame([("results.ror.point",), ("results.n",), ("lit.rate",)], "ref string")
     got = suggestions(spark.createDataFrame([("results.ror.pont",), ("zzz",)], "ref string"), known, "ref").collect()
     assert {r["ref"]: r["candidates"] for r in got} == {"results.ror.pont": ["results.ror.point", "results.n"], "zzz": []}
+
+
+def test_quotes_are_found_letter_by_letter(spark):
+    """A capital of two letters, and a sigma at the end of a quote that is no word's end."""
+    from claimtrace.functions import expressions as X
+
+    rows = [("Die Straße und", "straße"), ("στόμασι", "ΣΤΌΜΑΣ"), ("Die Strasse", "straße")]
+    df = spark.createDataFrame(rows, "text string, quote string")
+    got = df.select(X.contains_quote(F.col("text"), X.upper_each(F.col("quote"))).alias("hit"), X.upper_each(F.col("quote")).alias("up")).collect()
+    assert [r.hit for r in got] == [True, True, False] and got[0].up == "STRAẞE"
