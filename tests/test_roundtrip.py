@@ -24,6 +24,20 @@ def test_realigned_refuses_changed_or_swapped_tokens():
     assert P.realigned("No numbers.", "No numbers.", "  ") is None
 
 
+def test_realigned_tells_what_is_bound_from_like_prose():
+    source = "Of 7089 files and 89 more (89) we saw {{results.n}} texts [@a]."
+    shown = "Of 7089 files and 89 more (89) we saw 89 texts (A 1)."
+    assert P.realigned(source, shown, shown.replace("we saw", "we now saw")) == source.replace("we saw", "we now saw")
+    assert P.realigned(source, shown, shown.replace("we saw", "they saw")[:-1] + "!") == source.replace("we saw", "they saw")[:-1] + "!"
+    assert P.realigned("We saw {{results.n}} texts.", "We saw 89 texts.", "We saw 891 texts.") is None
+    assert P.realigned("We saw {{results.n}} texts.", "We saw 89 texts.", "We saw 89.5 texts.") is None
+    assert P.realigned("We saw {{results.n}}.", "We saw 89.", "They saw 89.") == "They saw {{results.n}}."
+    assert P.realigned("A {{results.a}} and {{results.b}}.", "A 1 and 1.", "An 1 and also 1.") == "An {{results.a}} and also {{results.b}}."
+    many = " ".join(f"w {{{{results.k{i}}}}}" for i in range(30)) + " [@a]."
+    built = " ".join("w 1" for i in range(30)) + " (A)."
+    assert P.realigned(many, built, built.replace("(A)", "(B)")) is None  # in time that grows with the text
+
+
 def test_paragraph_ids_are_stable_and_unique():
     text = "# A\n\nFirst one.\n\n{{table.t1}}\n\nFirst one.\n"
     found = P.paragraphs("a/notes.md", text)
