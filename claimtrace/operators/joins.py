@@ -52,6 +52,30 @@ def as_of(points: DataFrame, marks: DataFrame, group: str, at: str, value: str)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(upto)).filter("_kind = 1").drop("_kind")
 
 
+def latest_before(points: DataFrame, marks: DataFrame, group: str, at: str, order: str, value: str, width: float) -> DataFrame:
+    """``points`` (``group, at``) beside ``value`` of the mark of the same group that has the largest ``at`` and then
+    ``order`` of those strictly before the point, as ``before``: a struct of the three. Points without one are left out.
+
+    Groups are cut into cells of ``width``, so a large group is many small sorts: each cell's last mark is carried into
+    the cells behind it by a pass over a row per cell. NaN comes behind all numbers, and nothing is behind NaN.
+    """
+    mark = F.struct(F.col(at).alias("at"), F.col(order).alias("order"), F.col(value).alias("value"))
+    cell = F.rint(F.col(at).cast("double") / width)
+    names = points.columns
+    p = points.filter(F.col(at).isNotNull() & F.col(group).isNotNull()).select(*names, cell.alias("_cell"), F.lit(0).alias("_kind"))
+    m = marks.filter(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double"))).select(group, at, F.col(order).alias("_order"), cell.alias("_cell"), F.lit(1).alias("_kind"), mark.alias("_mark"))
+    rows = p.unionByName(m, allowMissingColumns=True)
+    # a point stands before the marks at its own place
+    upto = Window.partitionBy(group, "_cell").orderBy(at, "_kind", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).filter("_kind = 0")
+    cells = p.select(group, "_cell").distinct().unionByName(m.groupBy(group, "_cell").agg(F.max("_mark").alias("_last")), allowMissingColumns=True)
+    cells = cells.groupBy(group, "_cell").agg(F.max("_last").alias("_last"))
+    behind = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.withColumn("_last", F.last("_last", ignorenulls=True).over(behind)).withColumnRenamed("_last", "_carried")
+    out = near.join(carried, [group, "_cell"]).withColumn("before", F.coalesce("_mark", "_carried"))
+    return out.filter("before is not null").select(*names, "before")
+
+
 def none_near(left: DataFrame, right: DataFrame, group: str, at: str, within: int) -> DataFrame:
     """Rows of ``left`` without a row of ``right`` of the same group at most ``within`` away (band anti-join).
 
