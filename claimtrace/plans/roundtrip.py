@@ -45,15 +45,21 @@ def merged(known: DataFrame, rendered: DataFrame, returned: DataFrame) -> DataFr
 
 
 def moves(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``doc, id, was, now`` of paragraphs that came back elsewhere; both sides are ``doc, id, position``."""
+    """``doc, id, was, now`` of paragraphs that came back elsewhere; both sides are ``doc, id, position``. Of documents
+    whose order is as it was nothing leaves the JVM."""
     sides = before.select("doc", "id", "position", F.lit(0).alias("side")).unionByName(after.select("doc", "id", "position", F.lit(1).alias("side")))
+    row = F.struct(F.col("position").isNull().alias("missing"), "position", "id")
+    order = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, row))), lambda x: x["id"])
+    changed = sides.groupBy("doc").agg(order(0).alias("was"), order(1).alias("now")).filter(~F.col("was").eqNullSafe(F.col("now")))
 
-    def of_document(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["position", "id"])
-        found = P.moved(*(rows.loc[rows["side"] == s, "id"].tolist() for s in (0, 1)))
-        return pd.DataFrame([(rows["doc"].iat[0], *x) for x in found], columns=["doc", "id", "was", "now"])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc", pa.string()), ("id", pa.string()), ("was", pa.int32()), ("now", pa.int32())])
+        for batch in batches:
+            docs, *orders = (batch.column(c).to_pylist() for c in ("doc", "was", "now"))
+            rows = [(doc, *x) for doc, *two in zip(docs, *orders, strict=True) for x in P.moved(*two)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
 
-    return sides.groupBy("doc").applyInPandas(of_document, "doc string, id string, was int, now int")
+    return changed.mapInArrow(found, "doc string, id string, was int, now int")
 
 
 def marks(atoms: DataFrame) -> DataFrame:
