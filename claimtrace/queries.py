@@ -620,6 +620,9 @@ def g2_numbers_gate(spark, sf_dir):
     """The numbers gate over the documents, against a namespace without values."""
     from claimtrace.plans import gates
     from claimtrace.schemas import VALUES
+    from claimtrace.session import cut
 
-    analysis = _whole(spark, sf_dir).withColumn("path", F.col("doc_id").cast("string"))
+    # the gate reads its parts of the analysis several times, so they are kept, without the texts
+    parts = F.struct(*(f"parts.{x}" for x in ("atoms", "bindings", "fences"))).alias("parts")
+    analysis = cut(_whole(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), parts))
     return gates.numbers(analysis, spark.createDataFrame([], VALUES)).groupBy("gate", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
