@@ -24,6 +24,9 @@ FACTORS = stream(20240805, 0, BANDS * ROWS) | np.uint64(1)
 STEP = 512
 #: A shingle is rare if so many of the texts that are left have it, at most.
 RARE = 16
+#: Of texts by so many percent less similar to a hub than linked ones it is kept which of its shingles they lack, if these
+#: are so many at most; that only spares pairs.
+CLOSE, MOST = 25, 256
 #: So many ids of candidates are broadcast at most; more are joined by a shuffle.
 FEW = 1_000_000
 
@@ -52,26 +55,35 @@ def _sketch(text: Column, width: int) -> Column:
     return sketched(text)
 
 
-def _alike(one: Column, other: Column, width: int, percent: int) -> Column:
-    @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _compared(one: Column, other: Column, width: int, percent: int, near: int) -> Column:
+    """``alike``: whether two texts are similar enough; ``lacks``: what the second lacks of the first's shingles, where
+    they are similar by ``near`` percent at least and that is MOST at most; ``held`` of the first, ``more`` of the second."""
+
+    @F.pandas_udf("alike boolean, lacks array<long>, held int, more int")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         last, held = None, None
         for ones, others in batches:
-            out = []
+            alike, lacks, sizes, more = [], [], [], []
             for a, b in zip(ones, others, strict=True):
                 if a != last:
                     last, held = a, shingle_set(a, width)
                 s = shingle_set(b, width)
                 both = len(np.intersect1d(held, s, assume_unique=True))
-                out.append(100 * both >= percent * (len(held) + len(s) - both))
-            yield pd.Series(out, dtype=bool)
+                either = len(held) + len(s) - both
+                alike.append(100 * both >= percent * either)
+                told = 100 * both >= near * either and len(held) - both <= MOST
+                lacks.append(np.setdiff1d(held, s, assume_unique=True).view(np.int64) if told else None)
+                sizes.append(len(held))
+                more.append(len(s) - both)
+            yield pd.DataFrame({"alike": alike, "lacks": pd.Series(lacks, dtype=object), "held": sizes, "more": more})
         give_back()
 
-    return alike(one, other)
+    return compared(one, other)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b`` of ids) whose texts (``node, text``) are similar enough. Other texts aren't moved."""
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, near: int = 101) -> DataFrame:
+    """``pairs`` (``a, b`` of ids) with ``alike`` and ``lacks`` of their texts (``node, text``), see ``_compared``; only
+    those that are similar by ``percent`` or ``near``. Other texts aren't moved."""
     pairs = cut(pairs)
     many = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
     ends = many.select("node")
@@ -82,7 +94,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     twos = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     n = pairs.count()
     both = join_hot(join_hot(pairs, cut(twos), "b", "m", n), ones, "a", "n", n)
-    return both.filter(_alike(F.col("text_a"), F.col("text_b"), width, percent)).select("a", "b")
+    judged = both.select("a", "b", _compared(F.col("text_a"), F.col("text_b"), width, percent, near).alias("c"))
+    return judged.select("a", "b", "c.*").filter("alike or lacks is not null")
 
 
 def _shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -116,8 +129,9 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     hub are one part, as is most of a dense cloud. Texts that share a bucket with one of another part are left. Two of
     these that are linked share either a rare shingle, which RARE of them at most have, or so many frequent ones that
     both have nearly all of theirs in common with many. Pairs of the first kind meet by their rarest shingles, as few as
-    must have one that both share; pairs of the second by buckets. So the pairs that are made grow with the texts, and
-    no link is lost.
+    must have one that both share; pairs of the second by buckets. Of two texts near the same hub, what each lacks of it
+    and has besides bounds what they can share, and pairs below that bound aren't made. So the pairs that are made grow
+    with the texts, and no link is lost.
     """
     every = docs.select(F.xxhash64(whole(text)).alias("node"), whole(text).alias("text"))
     nodes = cut(every.select("node", _sketch(F.col("text"), width).alias("s")).select("node", "s.*").dropDuplicates(["node"]))
@@ -131,9 +145,14 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     share = lambda x, y: percent * (x + y) / (100 + percent)
     stars = join_hot(shared, hubs, "key", "n", n).filter((F.col("node") != F.col("hub.node")) & fits(F.col("many"), F.col("hub.many")))
-    near = cut(_verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), every, width, percent))
+    judged = cut(_verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), every, width, percent, percent - CLOSE))
+    near = cut(judged.filter("alike").select("a", "b"))
+    greatest = judged.filter("lacks is not null").join(central.withColumnRenamed("node", "a"), "a")
+    greatest = greatest.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("score", "a", "lacks", "held", "more")).alias("to"))
     tied = near.select(F.col("b").alias("node"), F.col("a").alias("hub")).union(near.select("a", "a").distinct())
-    tied = tied.join(central.withColumnRenamed("node", "hub"), "hub").groupBy("node").agg(F.max(F.struct("score", "hub"))["hub"].alias("part"))
+    tied = cut(tied.join(central.withColumnRenamed("node", "hub"), "hub").groupBy("node").agg(F.max(F.struct("score", "hub"))["hub"].alias("part")))
+    of = tied.filter("node != part").select(F.col("node").alias("part"), F.col("part").alias("_of"))  # hubs of hubs
+    tied = tied.join(of, "part", "left").select("node", F.coalesce("_of", "part").alias("part"))
     parts = cut(shared.join(tied, "node", "left").select("key", "node", "many", F.coalesce("part", "node").alias("part")))
     mixed = cut(parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("many").alias("fewest"), F.count(F.lit(1)).alias("n")).filter("p != q").drop("p", "q"))
     apart = cut(join_hot(parts, mixed, "key", "n", n).select("key", "node", "many", "part", "fewest"))
@@ -145,21 +164,23 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     ours = ours.withColumn("frequent", F.col("many") - F.col("rare") - F.col("lone"))
     # so many rare ones at least are shared with any text that it is linked to; of so many fewer one is among those shared
     needed = F.greatest(F.ceil(share(F.col("many"), F.col("fewest")) - F.col("frequent")), F.lit(1))
-    ours = cut(ours.withColumn("led", F.col("rare") - needed + 1))
+    ours = cut(ours.withColumn("led", F.col("rare") - needed + 1).join(greatest, "node", "left"))
     order = Window.partitionBy("node").orderBy("df", "h")
-    led = rare.withColumn("r", F.row_number().over(order)).join(ours.filter("led > 0"), "node").filter("r <= led").select("h", "node", "many", "part", (F.col("rare") + F.col("frequent")).alias("most"))
+    led = rare.withColumn("r", F.row_number().over(order)).join(ours.filter("led > 0"), "node").filter("r <= led").select("h", "node", "many", "part", "to", (F.col("rare") + F.col("frequent")).alias("most"))
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     unlike = (F.col("x.part") != F.col("y.part")) & fits(F.col("x.many"), F.col("y.many"))
+    both = F.col("x.to.held") - F.size(F.array_union("x.to.lacks", "y.to.lacks")) + F.least("x.to.more", "y.to.more")
+    unlike = unlike & ~((F.col("x.to.a") == F.col("y.to.a")) & (both < share(F.col("x.many"), F.col("y.many")))).eqNullSafe(True)
     led = cut(led)
     by_rare = led.alias("x").join(led.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & unlike & (F.least("x.most", "y.most") >= share(F.col("x.many"), F.col("y.many")))).select(*ends)
-    apart = apart.join(ours.filter(F.col("frequent") >= share(F.col("many"), F.col("fewest"))).select("node", "frequent"), "node")
+    apart = apart.join(ours.filter(F.col("frequent") >= share(F.col("many"), F.col("fewest"))).select("node", "frequent", "to"), "node")
     of_part = cut(apart).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     main = cut(of_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts"))
-    crowd = cut(apart.join(main, "key").select("key", "node", "many", "frequent", "part", "main"))
+    crowd = cut(apart.join(main, "key").select("key", "node", "many", "frequent", "to", "part", "main"))
     others, mains = crowd.filter("part != main").alias("x"), crowd.filter("part = main").alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & unlike & (F.least("x.frequent", "y.frequent") >= share(F.col("x.many"), F.col("y.many")))
     by_bucket = others.join(mains, meet).select(*ends).unionByName(others.join(others.alias("y"), meet & (F.col("x.node") < F.col("y.node"))).select(*ends))
-    far = _verified(by_rare.unionByName(by_bucket).distinct(), every, width, percent)
+    far = _verified(by_rare.unionByName(by_bucket).distinct(), every, width, percent).select("a", "b")
     roots = components(cut(near.unionByName(far)))
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 

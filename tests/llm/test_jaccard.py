@@ -61,3 +61,25 @@ def test_edited_copies_and_clouds(spark):
     assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == brute_stay(rows)
     assert jaccard.representatives(docs.limit(0)).count() == 0
     assert pd.Series([r.doc_id for r in jaccard.representatives(docs.union(docs)).collect()]).is_unique
+
+
+def test_texts_near_one_hub_make_few_pairs(spark, monkeypatch):
+    """A cloud around one text, many of whose texts aren't linked to it: what they lack of it rules pairs out."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        words = list(base)
+        for at in rng.sample(range(150), 3 if i % 2 else 4):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, verified = [], jaccard._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == brute_stay(rows)
+    assert made[-1] < 400
