@@ -11,28 +11,29 @@ from claimtrace.llm.common import cut, join_hot
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every end of ``edges`` (``a, b`` of longs): the smallest node that it is connected with.
 
-    Alternates two steps until nothing changes: each node's larger neighbours are tied to its least neighbour, then
+    Alternates two steps until every tree is a star: each node's larger neighbours are tied to its least neighbour, then
     its smaller ones and itself are. Edges never get more, and rounds grow with the logarithm of a path's length.
     Edges are in the shared folder after each round, so losing executors costs one round at most. Hubs are joined apart.
     """
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        """The number of edges, and of nodes that keep them from being stars: tied twice, or tied and tied to."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        of = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        return tuple(of.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if(F.expr("ups > 1 or (ups = 1 and n > 1)"))).first())
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
 
     # a is the larger end from here on
     now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last, this = None, state(now)
-    while this != last and this[0]:
+    n, left = state(now)
+    while left:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = join_hot(both, cut(least(both)), "a", "n", 2 * this[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
+        large = cut(join_hot(both, cut(least(both)), "a", "n", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = cut(least(large))
-        small = join_hot(large, low, "a", "n", large.count()).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        now = cut(small)
-        last, this = this, state(now)
+        small = join_hot(large, low, "a", "n", n).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        n, left = state(now)
     roots = now.select("b").distinct().select(F.col("b").alias("a"), "b")
     return now.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -287,3 +287,16 @@ def test_tables_are_dealt_out_on_request(spark):
         assert common.table(spark, SF, "documents").rdd.getNumPartitions() == 5
     finally:
         spark.conf.unset(common.DEAL)
+
+
+def test_op5_leaves_the_driver_few_jobs(spark, monkeypatch):
+    """Stars take no round, long paths few; and the driver's garbage, which holds files of shuffles, is collected on the way."""
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or cut(df))
+    stars = spark.range(5000).selectExpr("id + 10 as a", "id % 10 as b")
+    assert {(r.node, r.root) for r in graph.components(stars).collect()} == {(i + 10, i % 10) for i in range(5000)} | {(i, i) for i in range(10)}
+    assert len(made) == 1
+    asked = []
+    monkeypatch.setattr(common, "tidy", lambda spark: asked.append(1))
+    path = spark.range(60).selectExpr("id as a", "id + 1 as b")
+    assert {r.root for r in graph.components(path).collect()} == {0} and len(asked) >= (len(made) - 1) // common.TIDY > 0
