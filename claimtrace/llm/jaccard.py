@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole sets verify them.
+"""Near copies by the Jaccard similarity of word shingles: candidates are verified on whole sets.
 
-Texts at Jaccard 0.8 differ in up to 17 of 64 SimHash bits (measured), and balls of that radius hold too many probes for
-large tables. Of BANDS bands of ROWS minima one or more agree with probability 1 - (1 - J ** ROWS) ** BANDS: 0.99993 at 0.8.
+Operator 5 finds the first candidates: fingerprints that differ in DISTANCE bits or fewer, by its multi-index search. Texts at
+Jaccard 0.8 differ in up to 17 of 64 bits (measured), and balls of that radius hold too many probes for large tables. So
+MinHash bands find what is linked beyond it: of BANDS bands of ROWS minima one or more agree with probability
+1 - (1 - J ** ROWS) ** BANDS: 0.99993 at 0.8.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from claimtrace.llm.common import HOT, cut, first_of, give_back, join_hot, mix64, stream, whole
 from claimtrace.llm.graph import components
-from claimtrace.llm.simhash import chosen, shingle_hashes
+from claimtrace.llm.simhash import chosen, fingerprint_from, shingle_hashes, spanning
 
+DISTANCE = 4
 BANDS, ROWS = 24, 5
 FACTORS = stream(20240805, 0, BANDS * ROWS) | np.uint64(1)
 #: Minima are taken over so many shingles at once.
@@ -45,11 +48,17 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(text: Column, width: int) -> Column:
-    @F.pandas_udf("many int, bands array<long>")
+    @F.pandas_udf("many int, fp long, bands array<long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t, width) for t in texts]
-            yield pd.DataFrame({"many": [len(s) for s in sets], "bands": [bands_of(s).view(np.int64) for s in sets]})
+            many, prints, bands = [], [], []
+            for t in texts:
+                blocks = list(shingle_hashes(t, width))
+                s = np.unique(np.concatenate(blocks))
+                many.append(len(s))
+                prints.append(fingerprint_from(blocks) if t.encode("utf-8").split() else 0)
+                bands.append(bands_of(s).view(np.int64))
+            yield pd.DataFrame({"many": many, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "bands": bands})
         give_back()
 
     return sketched(text)
@@ -98,6 +107,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, near
     return judged.select("a", "b", "c.*").filter("alike or lacks is not null")
 
 
+def _by_fingerprint(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that operator 5 finds: of texts (``node, fp``) with equal fingerprints or ones that it links, those that are similar."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    count, total = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    _, stars, far = spanning(prints.select("fp", "n"), count, DISTANCE)
+    linked = cut(stars.unionByName(far))
+    many = linked.count()
+    for end, name in (("a", "x"), ("b", "y")):
+        firsts = prints.select(F.col("fp").alias(end), F.col("first").alias(name))
+        times = linked.groupBy(end).agg(F.count(F.lit(1)).alias("m")).join(firsts, end)
+        linked = join_hot(linked, cut(times), end, "m", many).drop("m")
+    same = join_hot(nodes.select("fp", "node"), prints.filter("n > 1"), "fp", "n", total).filter("node != first")
+    pairs = linked.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same.select("first", "node"))
+    return _verified(pairs.distinct(), texts, width, percent).select("a", "b")
+
+
 def _shingles(texts: DataFrame, width: int) -> DataFrame:
     """``node, h`` for each shingle of ``texts`` (``node, text``)."""
 
@@ -124,9 +149,10 @@ def _rare(each: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """``node, root`` of each text: nodes are hashes of texts, and texts with links between them have one root.
 
-    Texts are linked if the sets of their word shingles have a Jaccard similarity of ``percent`` or more. First each
-    text of a band's bucket is held against the one that shares most buckets, its hub; texts that are linked to the same
-    hub are one part, as is most of a dense cloud. Texts that share a bucket with one of another part are left. Two of
+    Texts are linked if the sets of their word shingles have a Jaccard similarity of ``percent`` or more. First come the
+    links that operator 5 finds, and texts that they join are one part. Of bands' buckets those of one part are left out.
+    In the others each text is held against the one that shares most buckets, its hub; texts that are linked to the same
+    hub are one part too, as is most of a dense cloud. Texts that share a bucket with one of another part are left. Two of
     these that are linked share either a rare shingle, which RARE of them at most have, or so many frequent ones that
     both have nearly all of theirs in common with many. Pairs of the first kind meet by their rarest shingles, as few as
     must have one that both share; pairs of the second by buckets. Of two texts near the same hub, what each lacks of it
@@ -135,8 +161,11 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     """
     every = docs.select(F.xxhash64(whole(text)).alias("node"), whole(text).alias("text"))
     nodes = cut(every.select("node", _sketch(F.col("text"), width).alias("s")).select("node", "s.*").dropDuplicates(["node"]))
-    keys = nodes.select("node", "many", F.explode("bands").alias("key"))
-    sizes = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    close = cut(_by_fingerprint(nodes, every, width, percent))
+    joined = cut(components(close)).withColumnRenamed("root", "part")
+    keys = nodes.join(joined, "node", "left").select("node", "many", F.coalesce("part", "node").alias("part"), F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q"))
+    sizes, keys = cut(sizes.filter("p != q").drop("p", "q")), keys.drop("part")
     shared = cut(join_hot(keys, sizes, "key", "size", BANDS * nodes.count()))
     n = shared.count()
     central = cut(shared.groupBy("node").agg(F.sum("size").alias("score")))
@@ -149,11 +178,8 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     near = cut(judged.filter("alike").select("a", "b"))
     greatest = judged.filter("lacks is not null").join(central.withColumnRenamed("node", "a"), "a")
     greatest = greatest.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("score", "a", "lacks", "held", "more")).alias("to"))
-    tied = near.select(F.col("b").alias("node"), F.col("a").alias("hub")).union(near.select("a", "a").distinct())
-    tied = cut(tied.join(central.withColumnRenamed("node", "hub"), "hub").groupBy("node").agg(F.max(F.struct("score", "hub"))["hub"].alias("part")))
-    of = tied.filter("node != part").select(F.col("node").alias("part"), F.col("part").alias("_of"))  # hubs of hubs
-    tied = tied.join(of, "part", "left").select("node", F.coalesce("_of", "part").alias("part"))
-    parts = cut(shared.join(tied, "node", "left").select("key", "node", "many", F.coalesce("part", "node").alias("part")))
+    tied = cut(components(close.unionByName(near)))
+    parts = cut(shared.join(tied, "node", "left").select("key", "node", "many", F.coalesce("root", "node").alias("part")))
     mixed = cut(parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("many").alias("fewest"), F.count(F.lit(1)).alias("n")).filter("p != q").drop("p", "q"))
     apart = cut(join_hot(parts, mixed, "key", "n", n).select("key", "node", "many", "part", "fewest"))
     left = cut(apart.groupBy("node").agg(F.first("many").alias("many"), F.first("part").alias("part"), F.greatest(F.min("fewest"), F.ceil(F.first("many") * percent / 100)).alias("fewest")))
@@ -181,7 +207,7 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     meet = (F.col("x.key") == F.col("y.key")) & unlike & (F.least("x.frequent", "y.frequent") >= share(F.col("x.many"), F.col("y.many")))
     by_bucket = others.join(mains, meet).select(*ends).unionByName(others.join(others.alias("y"), meet & (F.col("x.node") < F.col("y.node"))).select(*ends))
     far = _verified(by_rare.unionByName(by_bucket).distinct(), every, width, percent).select("a", "b")
-    roots = components(cut(near.unionByName(far)))
+    roots = components(tied.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far))
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -7,7 +7,7 @@ side, looked up among the values of the other, and what is found is verified ove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -46,8 +46,13 @@ def fingerprint_of(text: str, width: int) -> int:
     """The SimHash of a text's word shingles, unsigned; 0 for a text without words."""
     if not text.encode("utf-8").split():
         return 0
+    return fingerprint_from(shingle_hashes(text, width))
+
+
+def fingerprint_from(blocks: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes in blocks."""
     counts, n = np.zeros(BITS, dtype=np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in blocks:
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
@@ -136,6 +141,17 @@ def _stars(nodes: DataFrame, count: int, distance: int, bits: int = 16) -> DataF
     return join_hot(stored, hub, "key", "_many", len(widths) * count).filter(near & (F.col("hub") != F.col("fp"))).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
+def spanning(nodes: DataFrame, count: int, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``count`` fingerprints (``fp, n``) with the components of their stars as ``part``; the stars' links; and those of ``links``.
+
+    The links of both kinds join what all links between fingerprints of ``distance`` bits or fewer would join.
+    """
+    stars = _stars(nodes, count, distance)
+    near = cut(components(stars))
+    parts = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("part")))
+    return parts, stars, cut(links(parts, count, distance))
+
+
 def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fp, fingerprint, component``.
 
@@ -148,9 +164,7 @@ def with_components(docs: DataFrame, width: int = 4, distance: int = 4, text: st
     rows = cut(docs.select("doc_id", F.xxhash64(whole(text)).alias("_text"), fingerprints(whole(text), width).alias("fp")))
     nodes = cut(rows.groupBy("fp").agg(first_of().alias("least"), F.count(F.lit(1)).alias("n")))
     n, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    near = cut(components(_stars(nodes, n, distance)))
-    parts = cut(nodes.join(near, nodes["fp"] == near["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("part")))
-    far = cut(links(parts, n, distance))
+    parts, _, far = spanning(nodes, n, distance)
     ends = parts.select("fp", "part")
     between = (
         far.join(ends.select(F.col("fp").alias("a"), F.col("part").alias("pa")), "a")

@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: texts at Jaccard 0.8 or more of five-word shingles are linked.
 
-    In place of operator 5's fingerprints MinHash bands find the candidates, see ``jaccard`` and the README.
+    Operator 5's fingerprints and search find the first candidates, MinHash bands those beyond its distance; all are
+    verified on whole shingle sets, see ``jaccard`` and the README.
     """
     return jaccard.representatives(docs, width=5, percent=80)
 

@@ -6,6 +6,7 @@ import corpus_pipeline as C
 import pandas as pd
 import pytest
 from claimtrace.llm import jaccard
+from pyspark.sql import functions as F
 
 TESTDATA = "/root/testdata"
 
@@ -83,3 +84,19 @@ def test_texts_near_one_hub_make_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == brute_stay(rows)
     assert made[-1] < 400
+
+
+def test_dedup_links_by_fingerprints(spark, monkeypatch):
+    """Where no bands meet, texts whose fingerprints operator 5 links are joined, if they are similar; others aren't."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(900)]
+        rows += [(10 * i + 1, " ".join(words)), (10 * i + 2, " ".join(words).upper()), (10 * i + 3, " ".join([*words[:-1], "other"]))]
+    sizes = []
+    sketch = jaccard._sketch
+    monkeypatch.setattr(jaccard, "_sketch", lambda text, width: sketch(text, width).withField("bands", F.array().cast("array<long>")))
+    monkeypatch.setattr(jaccard, "spanning", lambda nodes, *rest, f=getattr(jaccard, "spanning", None): sizes.append(nodes.count()) or f(nodes, *rest), raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == [10 * i + 1 for i in range(12)] == brute_stay(rows)
+    assert len(sizes) == 1
