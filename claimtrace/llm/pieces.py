@@ -149,6 +149,8 @@ class Lattices:
         self.number.default_factory = self.number.__len__
         self.built = 0
         self.start = np.zeros(0, dtype=np.int64)  # of each unit its first state
+        self.met = np.zeros(0, dtype=np.int64)  # and how often it was met, of late
+        self.unit = np.zeros(0, dtype=np.int32)  # of each state its unit
         self.first = np.zeros(1, dtype=np.int64)  # of each state its first edge, and one behind the last
         self.share = np.zeros(0, dtype=np.uint32)  # of the state's edges up to this one, less 2**-32
         self.next = np.zeros(0, dtype=np.int32)  # the state behind the piece; -1 at the end of the unit
@@ -237,8 +239,9 @@ class Lattices:
         share = np.clip(upto[1:] - np.repeat(upto[first[:-1]], counts) - 1, 0, FULL - 1).astype(np.uint32)
         share[first[1:] - 1] = FULL
         last = end == total
+        unit = np.repeat(np.arange(len(self.start), len(self.start) + len(units)), sizes)[by_left]
         for name, new in (
-            ("start", base + state[np.cumsum(sizes) - sizes]), ("first", base_edges + first[1:]), ("share", share), ("piece", piece),
+            ("start", base + state[np.cumsum(sizes) - sizes]), ("met", np.zeros(len(units))), ("unit", unit), ("first", base_edges + first[1:]), ("share", share), ("piece", piece),
             ("next", np.where(last, -1, end + base)), ("logp", logp),
         ):
             self._append(name, new)
@@ -250,12 +253,39 @@ class Lattices:
         if len(self.number) > self.built:
             self.build(list(self.number)[self.built :])
             self.built = len(self.number)
+        if found:
+            self.met += np.bincount(np.concatenate(found), minlength=self.built)
         return [self.start[x] for x in found]
 
     def forget(self) -> None:
-        """Called between groups of texts: keeps memory bounded."""
-        if len(self.number) > KEPT or len(self.logp) > KEPT_EDGES:
-            self.clear()
+        """Called between groups of texts: keeps memory bounded. Of units that are too many the most often met stay, up to
+        half of the bounds, and needn't be built again; numbers of all units, states and edges change."""
+        if len(self.number) <= KEPT and len(self.logp) <= KEPT_EDGES:
+            return
+        counts = np.diff(self.first)
+        order = np.argsort(-self.met, kind="stable")
+        edges = np.bincount(self.unit, weights=counts, minlength=len(self.start))[order]
+        stays = np.zeros(len(self.start), dtype=bool)
+        stays[order[: KEPT // 2][np.cumsum(edges)[: KEPT // 2] <= KEPT_EDGES // 2]] = True
+        names = [u for u, x in zip(self.number, stays.tolist(), strict=True) if x]
+        states = stays[self.unit]
+        live, state, unit = np.repeat(states, counts), np.cumsum(states) - 1, np.cumsum(stays) - 1
+        behind = self.next[live]
+        self._replace("next", np.where(behind < 0, -1, state[behind]))
+        self._replace("first", np.concatenate([[0], np.cumsum(counts[states])]))
+        self._replace("start", state[self.start[stays]])
+        self._replace("unit", unit[self.unit[states]])
+        self._replace("met", self.met[stays] // 2)
+        for name in ("share", "piece", "logp"):
+            self._replace(name, getattr(self, name)[live])
+        self.number.clear()
+        self.number.update(zip(names, range(len(names)), strict=True))
+        self.built = len(names)
+
+    def _replace(self, name: str, new: np.ndarray) -> None:
+        """An array's values by fewer ones, in the same buffer."""
+        self._room[name][: len(new)] = new
+        setattr(self, name, self._room[name][: len(new)])
 
     def walk(self, states: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draws each state's unit to its end: the edges in order, and how many each state got.
