@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimtrace.llm.common import HOT, cut, first_of, give_back, join_hot, mix64, stream, whole
+from claimtrace.llm.common import HOT, collect_executors, cut, first_of, give_back, join_hot, mix64, stream, whole
 from claimtrace.llm.graph import components
 from claimtrace.llm.simhash import chosen, fingerprint_from, shingle_hashes, spanning
 
@@ -162,11 +162,13 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     every = docs.select(F.xxhash64(whole(text)).alias("node"), whole(text).alias("text"))
     nodes = cut(every.select("node", _sketch(F.col("text"), width).alias("s")).select("node", "s.*").dropDuplicates(["node"]))
     close = cut(_by_fingerprint(nodes, every, width, percent))
+    collect_executors(docs.sparkSession)
     joined = cut(components(close)).withColumnRenamed("root", "part")
     keys = nodes.join(joined, "node", "left").select("node", "many", F.coalesce("part", "node").alias("part"), F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q"))
     sizes, keys = cut(sizes.filter("p != q").drop("p", "q")), keys.drop("part")
     shared = cut(join_hot(keys, sizes, "key", "size", BANDS * nodes.count()))
+    collect_executors(docs.sparkSession)
     n = shared.count()
     central = cut(shared.groupBy("node").agg(F.sum("size").alias("score")))
     hubs = cut(shared.join(central, "node").groupBy("key").agg(F.max(F.struct("score", "node", "many")).alias("hub"), F.count(F.lit(1)).alias("n")))
@@ -176,6 +178,7 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     stars = join_hot(shared, hubs, "key", "n", n).filter((F.col("node") != F.col("hub.node")) & fits(F.col("many"), F.col("hub.many")))
     judged = cut(_verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), every, width, percent, percent - CLOSE))
     near = cut(judged.filter("alike").select("a", "b"))
+    collect_executors(docs.sparkSession)
     greatest = judged.filter("lacks is not null").join(central.withColumnRenamed("node", "a"), "a")
     greatest = greatest.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("score", "a", "lacks", "held", "more")).alias("to"))
     tied = cut(components(close.unionByName(near)))
@@ -203,6 +206,7 @@ def with_roots(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "
     of_part = cut(apart).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     main = cut(of_part.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts"))
     crowd = cut(apart.join(main, "key").select("key", "node", "many", "frequent", "to", "part", "main"))
+    collect_executors(docs.sparkSession)
     others, mains = crowd.filter("part != main").alias("x"), crowd.filter("part = main").alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & unlike & (F.least("x.frequent", "y.frequent") >= share(F.col("x.many"), F.col("y.many")))
     by_bucket = others.join(mains, meet).select(*ends).unionByName(others.join(others.alias("y"), meet & (F.col("x.node") < F.col("y.node"))).select(*ends))

@@ -4,6 +4,7 @@ Documents that fail the quality rules go, one of each group of near copies stays
 mixed to their targets (a document that is taken several times is there several times), and what is left is segmented.
 Each stage works on all that the one before it kept, with nulls, empty and long texts, ties, repeated rows, empty
 tables and other columns as its operator defines them; a stage's own working columns never clash with the table's.
+Each begins with executors' heaps collected, since some stages need memory in the JVM and others in Python.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimtrace.llm import host_quality, jaccard, mixing, pieces, secrets
-from claimtrace.llm.common import remove_folder, shared_folder, whole
+from claimtrace.llm.common import collect_executors, remove_folder, shared_folder, whole
 from claimtrace.llm.queries import SEED
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep: not failed by themselves, nor by their host's verdict (operator 9)."""
+    collect_executors(spark)
     return host_quality.kept_documents(docs)
 
 
@@ -30,11 +32,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Operator 5's fingerprints and search find the first candidates, MinHash bands those beyond its distance; all are
     verified on whole shingle sets, see ``jaccard`` and the README.
     """
+    collect_executors(spark)
     return jaccard.representatives(docs, width=5, percent=80)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in a text replaced by a mark (operator 7); ``n_chars`` follows the text."""
+    collect_executors(spark)
     found = secrets.with_spans(docs)
     text = F.when(F.size("secret_spans") > 0, secrets.redacted(whole(), F.col("secret_spans"))).otherwise(F.col("text"))
     found = found.withColumn("text", text)
@@ -45,11 +49,13 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it, up to three times or not at all (operator 4)."""
+    collect_executors(spark)
     return mixing.mixture(docs, weights=[1, 2, 3], most=3)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations (operator 1): a document that the mix takes several times gets as many distinct ones."""
+    collect_executors(spark)
     copies = docs.groupBy("doc_id", "source", whole().alias("text")).agg(F.count(F.lit(1)).alias("k"))
     drawn = pieces.sampled_segmentations(copies, public_tokenizers.path("piece_bpe_32k.model"), k=F.col("k"), seed=SEED, keep=["doc_id", "source"])
     return drawn.select("doc_id", "source", "n_pieces", "log_prob", "log_inclusion", "exact", "pieces")
